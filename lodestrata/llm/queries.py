@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestrata.llm import near_duplicates
+from lodestrata.llm import near_duplicates, residue
 from lodestrata.session import table
 
 
@@ -13,7 +14,18 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return out.select(out["key_a"].alias("id_a"), out["key_b"].alias("id_b"))
 
 
-QUERIES = {"p2_found": p2_found}
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return residue.residue_documents(table(spark, root, "documents")).select("doc_id")
+
+
+def p9_kinds(spark: SparkSession, root: str) -> DataFrame:
+    """The documents to leave out, counted by source and kind."""
+    docs = table(spark, root, "documents")
+    out = residue.residue_documents(docs).join(docs.select("doc_id", F.lower(F.trim("source")).alias("source")), "doc_id")
+    return out.groupBy("source", "kind").agg(F.count("*").alias("n_docs"))
+
+
+QUERIES = {"p2_found": p2_found, "p9_found": p9_found, "p9_kinds": p9_kinds}
 
 SQL = {
     # every shingle's whole list joined with itself and counted
