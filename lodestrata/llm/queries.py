@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import near_duplicates, residue
+from lodestrata.llm import function_docs, near_duplicates, residue, splitting
 from lodestrata.session import table
 
 
@@ -14,6 +14,24 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return out.select(out["key_a"].alias("id_a"), out["key_b"].alias("id_b"))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return function_docs.anchor_functions(table(spark, root, "anchors")).select("id", "func_name").distinct()
+
+
+def p5_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """The code-description pairs."""
+    return function_docs.anchor_functions(table(spark, root, "anchors"))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return p6_pieces(spark, root).where(F.col("chunk_index") == 0).select("item_kind", "item_key").distinct()
+
+
+def p6_pieces(spark: SparkSession, root: str) -> DataFrame:
+    """The pieces of all oversized anchors and stored sub-chunks."""
+    return splitting.oversized_pieces(table(spark, root, "anchors"), table(spark, root, "chunks"))
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return residue.residue_documents(table(spark, root, "documents")).select("doc_id")
 
@@ -25,7 +43,7 @@ def p9_kinds(spark: SparkSession, root: str) -> DataFrame:
     return out.groupBy("source", "kind").agg(F.count("*").alias("n_docs"))
 
 
-QUERIES = {"p2_found": p2_found, "p9_found": p9_found, "p9_kinds": p9_kinds}
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p6_pieces": p6_pieces, "p9_found": p9_found, "p9_kinds": p9_kinds}
 
 SQL = {
     # every shingle's whole list joined with itself and counted
@@ -35,5 +53,11 @@ g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i:
 n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
 o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared FROM g a JOIN g b ON a.s = b.s AND a.id < b.id GROUP BY a.id, b.id)
 SELECT id_a, id_b FROM o JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE shared >= 0.7 * (x.n + y.n - shared)
+""",
+    "p6_found": r"""
+SELECT DISTINCT item_kind, item_key FROM (
+  SELECT 'anchor' AS item_kind, id AS item_key, content_text AS t FROM anchors
+  UNION ALL SELECT 'chunk', CAST(chunk_id AS VARCHAR), text FROM chunks)
+WHERE len(regexp_extract_all(t, '[^ \t\n\r]+')) * 7 // 5 > 600
 """,
 }
