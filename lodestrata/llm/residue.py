@@ -5,10 +5,10 @@ Two ways, both over whole texts:
 * A slot or filler may stand anywhere outside code, so it is looked for by rule in the text without code fences and
   inline code.
 * An error page is told by all of its lines. Lines are normalised (marks, tags and case off; numbers, dates, addresses
-  and hexadecimal ids masked) and hashed; one aggregation over all documents counts how many documents and sources
-  each hash has. Phrase rules run once per distinct line. A document is a page if one line at least is an error or a
-  notice and every other line is page furniture: known furniture, or a short line that recurs across sources. Only
-  documents that contain an error phrase at all are joined with the classified lines.
+  and hexadecimal ids masked) and hashed; one aggregation over all documents counts how often and in how many sources
+  each short line occurs. Phrase rules run once per distinct line. A document is a page if one line at least is an
+  error or a notice and every other line is page furniture: known furniture, or a short line that recurs across
+  sources. Only documents whose first and last line can both belong to a page are taken apart.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import materialize
+
 # Forms of unfilled slots.
 SLOTS = [
     r"\{\{[^{}\n]{1,80}\}\}",
@@ -114,7 +116,8 @@ FURNITURE = [
     r"(?:incident|ticket|request|error|trace|support|ray|ref|reference)(?: id| code| number)?[: ]+[0#]\S*",
 ]
 
-_ANY_ERROR = r"(?i)script|\bjs\b|error|erreur|fehler|not found|forbidden|denied|refus|verweigert|denegado|unavailable|not available|indisponible|disponible|gateway|too many requests|oops|sorry|uh-oh|\bhm+\b|whoops|ouch|apologies|adress|dirección|erreichbar|temporarily|could not (?:handle|process|complete)|you asked for|looking for|human|unhandled exception|\bhttp|status|unauthori|time-?out|permission|bad request|\"(?:message|error|code|status)\":"
+#: A line that may be furniture by recurring has at most so many words and characters.
+SHORT_WORDS, SHORT_CHARS = 4, 80
 
 
 def without_code(text: Column) -> Column:
@@ -124,40 +127,72 @@ def without_code(text: Column) -> Column:
 
 
 def has_residue(text: Column) -> Column:
-    """True if a slot or filler stands outside code; null for a null text."""
+    """True if a slot or filler stands outside code; null for a null text. Each alternation is entered only at a
+    character that one of its branches can begin with."""
     plain = without_code(text)
-    return plain.rlike("|".join(f"(?:{x})" for x in SLOTS)) | plain.rlike("(?i)" + "|".join(f"(?:{x})" for x in FILLER))
+    slots = r"(?=[\[{<$%#X_@])(?:" + "|".join(f"(?:{x})" for x in SLOTS) + ")"
+    filler = r"\b(?=[a-z])(?:" + "|".join(f"(?:{x})" for x in FILLER) + ")"
+    return plain.rlike(slots) | F.lower(plain).rlike(filler)
 
 
 def normal_line(line: Column) -> Column:
-    """Marks and tags off, lower case, blanks joined; dates, addresses, hexadecimal ids and numbers masked."""
+    """Marks and tags off, lower case, blanks joined; dates, addresses, hexadecimal ids and numbers masked. Lines that
+    have none of these are only trimmed and lowered."""
     out = F.regexp_replace(line, r"<[^<>]{1,40}>", " ")
     out = F.trim(F.regexp_replace(F.lower(out), r"\s+", " "))
     out = F.regexp_replace(out, r"^(?:[#>*\-]+ )+", "")
     out = F.regexp_replace(out, r"https?://\S+|\b[\w.+-]+@[\w-]+\.[\w.]+", "@")
     out = F.regexp_replace(out, r"\b\d{4}-\d\d-\d\d(?:[t ]\d\d:\d\d(?::\d\d)?\S*)?", "0")
-    return F.regexp_replace(F.regexp_replace(out, r"\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{8,}\b", "#"), r"\d+(?:[.:]\d+)*", "0")
+    out = F.regexp_replace(F.regexp_replace(out, r"\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{8,}\b", "#"), r"\d+(?:[.:]\d+)*", "0")
+    return F.when(line.rlike(r"[\d<@]|://|\A\s*[#>*\-]|\s\s|[\t\f]"), out).otherwise(F.lower(F.trim(line)))
 
 
 def _whole(rules: list[str]) -> str:
     return r"\A(?:" + "|".join(f"(?:{x})" for x in rules) + r")\z"
 
 
+def _lines(text: Column) -> Column:
+    return F.split(F.replace(text, F.lit("\r"), F.lit("\n")), "\n")
+
+
+def _is_short(raw: Column, line: Column) -> Column:
+    return (F.length(raw) <= SHORT_CHARS) & (F.size(F.split(line, " ")) <= SHORT_WORDS)
+
+
+def _is_message(line: Column) -> Column:
+    return line.rlike(_whole(ERRORS)) | line.rlike(_whole(NOTICES))
+
+
 def line_counts(docs: DataFrame, *, text: str, source: str) -> DataFrame:
-    """``h, n, n_sources`` of every normalised line of all documents; sources fall into 63 classes, so their number
-    is a lower bound that needs one long per line."""
+    """``h, n, n_sources`` of every short normalised line of all documents; sources fall into 63 classes, so their
+    number is a lower bound that needs one long per line."""
     of = F.pmod(F.xxhash64(F.lower(F.trim(F.coalesce(F.col(source), F.lit(""))))), F.lit(63)).cast("int")
-    lines = docs.where(F.col(text).isNotNull()).select(of.alias("s"), F.explode_outer(F.split(F.col(text), r"[\r\n]+")).alias("line"))
-    lines = lines.select("s", normal_line(F.col("line")).alias("line")).where(F.col("line") != "")
+    raw = docs.where(F.col(text).isNotNull()).select(of.alias("s"), F.explode_outer(_lines(F.col(text))).alias("raw")).where((F.length("raw") <= SHORT_CHARS) & (F.length("raw") > 0))
+    lines = raw.select("s", "raw", normal_line(F.col("raw")).alias("line")).where((F.col("line") != "") & _is_short(F.col("raw"), F.col("line")))
     return lines.groupBy(F.xxhash64("line").alias("h")).agg(F.count("*").alias("n"), F.bit_count(F.bit_or(F.expr("shiftleft(1L, s)"))).alias("n_sources"))
 
 
+def suspects(docs: DataFrame, *, key: str, text: str) -> DataFrame:
+    """``doc_id, text, slots`` of the documents with residue and of those whose first and last line may both belong to
+    a page: the one scan that looks at whole texts."""
+    one = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    blank = F.lit(" \n\r\t\f")
+    body = F.replace(F.trim(F.col("text"), blank), F.lit("\r"), F.lit("\n"))
+    ends = one.select("doc_id", "text", F.substring_index(body, "\n", 1).alias("first"), F.substring_index(body, "\n", -1).alias("last"))
+
+    def may(raw: str) -> Column:
+        line = normal_line(F.col(raw))
+        return _is_short(F.col(raw), line) | line.rlike(_whole(ERRORS + NOTICES + FURNITURE))
+
+    return ends.select("doc_id", "text", has_residue(F.col("text")).alias("slots"), (may("first") & may("last")).alias("ends")).where(F.col("slots") | F.col("ends")).drop("ends")
+
+
 def line_kinds(lines: DataFrame, counts: DataFrame, *, min_rows: int, min_sources: int) -> DataFrame:
-    """``h, kind`` of distinct lines (``h, line``): message, furniture or text. A line of at most four words that
-    recurs in ``min_rows`` lines of ``min_sources`` sources is furniture."""
+    """``h, kind`` of distinct lines (``h, line, raw``): message, furniture or text. A short line that recurs in
+    ``min_rows`` lines of ``min_sources`` sources is furniture."""
     line = F.col("line")
-    recurs = (F.col("n") >= min_rows) & (F.col("n_sources") >= min_sources) & (F.size(F.split(line, " ")) <= 4)
-    kind = F.when(line.rlike(_whole(ERRORS)) | line.rlike(_whole(NOTICES)), "message").when(line.rlike(_whole(FURNITURE)) | F.coalesce(recurs, F.lit(False)), "furniture").otherwise("text")
+    recurs = (F.col("n") >= min_rows) & (F.col("n_sources") >= min_sources) & F.col("short")
+    kind = F.when(_is_message(line), "message").when(line.rlike(_whole(FURNITURE)) | F.coalesce(recurs, F.lit(False)), "furniture").otherwise("text")
     return lines.join(counts, "h", "left").select("h", kind.alias("kind"))
 
 
@@ -166,11 +201,12 @@ def residue(docs: DataFrame, *, key: str, text: str, source: str, min_rows: int
 
     Null, empty and blank texts are no cases. A key that occurs twice is judged by each of its rows; rows are distinct.
     Other columns are not looked at. An empty table gives no rows."""
-    one = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    slots = one.where(has_residue(F.col("text"))).select("doc_id", F.lit("residue").alias("kind"))
-    maybe = one.where(F.col("text").rlike(_ANY_ERROR)).select("doc_id", F.xxhash64("text").alias("t"), F.explode_outer(F.split("text", r"[\r\n]+")).alias("line"))
-    lines = maybe.select("doc_id", "t", normal_line(F.col("line")).alias("line")).where(F.col("line") != "").withColumn("h", F.xxhash64("line"))
-    kinds = line_kinds(lines.groupBy("h").agg(F.first("line").alias("line")), line_counts(docs, text=text, source=source), min_rows=min_rows, min_sources=min_sources)
+    seen = materialize(suspects(docs, key=key, text=text))
+    slots = seen.where("slots").select("doc_id", F.lit("residue").alias("kind"))
+    raw = seen.where("not slots").select("doc_id", F.xxhash64("text").alias("t"), F.explode_outer(_lines(F.col("text"))).alias("raw"))
+    lines = raw.select("doc_id", "t", "raw", normal_line(F.col("raw")).alias("line")).where(F.col("line") != "").withColumn("h", F.xxhash64("line"))
+    distinct = lines.groupBy("h").agg(F.first("line").alias("line"), F.max(_is_short(F.col("raw"), F.col("line"))).alias("short"))
+    kinds = line_kinds(distinct, line_counts(docs, text=text, source=source), min_rows=min_rows, min_sources=min_sources)
     judged = lines.select("doc_id", "t", "h").distinct().join(kinds, "h").groupBy("doc_id", "t").agg(F.max(F.col("kind") == "message").alias("some"), F.max(F.col("kind") == "text").alias("other"))
     pages = judged.where(F.col("some") & ~F.col("other")).select("doc_id", F.lit("page").alias("kind"))
     return slots.unionByName(pages).groupBy("doc_id").agg(F.max("kind").alias("kind"))
