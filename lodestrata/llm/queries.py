@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import function_docs, near_duplicates, residue, splitting
+from lodestrata.llm import function_docs, mixing, near_duplicates, packing, residue, splitting
 from lodestrata.session import table
 
 
@@ -32,6 +32,28 @@ def p6_pieces(spark: SparkSession, root: str) -> DataFrame:
     return splitting.oversized_pieces(table(spark, root, "anchors"), table(spark, root, "chunks"))
 
 
+def p7_containers(spark: SparkSession, root: str) -> DataFrame:
+    """The container of each document or part of one."""
+    return packing.pack_documents(table(spark, root, "documents")).select("doc_id", "part", "n_tokens", "container", "fill")
+
+
+def p7_fill(spark: SparkSession, root: str) -> DataFrame:
+    """How well the containers are filled."""
+    bins = p7_containers(spark, root).groupBy("container").agg(F.sum("n_tokens").alias("used"))
+    least = F.ceil(F.sum("used") / packing.CAPACITY)
+    return bins.agg(F.count("*").alias("containers"), least.alias("least_containers"), F.sum("used").alias("tokens"), (F.sum("used") / (F.count("*") * packing.CAPACITY)).alias("filled"))
+
+
+def p8_chosen(spark: SparkSession, root: str) -> DataFrame:
+    """The chosen documents with their repeats."""
+    return mixing.mix_documents(table(spark, root, "documents"), table(spark, root, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, root: str) -> DataFrame:
+    """The actual shares of the mixture."""
+    return mixing.shares(p8_chosen(spark, root), table(spark, root, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return residue.residue_documents(table(spark, root, "documents")).select("doc_id")
 
@@ -43,7 +65,7 @@ def p9_kinds(spark: SparkSession, root: str) -> DataFrame:
     return out.groupBy("source", "kind").agg(F.count("*").alias("n_docs"))
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p6_pieces": p6_pieces, "p9_found": p9_found, "p9_kinds": p9_kinds}
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_chosen": p8_chosen, "p8_shares": p8_shares, "p9_found": p9_found, "p9_kinds": p9_kinds}
 
 SQL = {
     # every shingle's whole list joined with itself and counted
