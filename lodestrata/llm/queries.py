@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import function_docs, mixing, near_duplicates, packing, residue, splitting
+from lodestrata.llm import function_docs, mixing, near_duplicates, neighbours, packing, residue, splitting
 from lodestrata.session import table
 
 
@@ -14,6 +14,17 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return out.select(out["key_a"].alias("id_a"), out["key_b"].alias("id_b"))
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    a = neighbours.similar_pairs(table(spark, root, "anchors"), key="id", vec="overview_embedding")
+    c = neighbours.similar_pairs(table(spark, root, "chunks_vec"), key="chunk_id", vec="embedding")
+    return a.select(F.lit("anchors").alias("vec_table"), "key_a", "key_b").unionByName(c.select(F.lit("chunks_vec").alias("vec_table"), "key_a", "key_b"))
+
+
+def p3_nearest(spark: SparkSession, root: str) -> DataFrame:
+    """The five most similar of every chunk vector whose id is divisible by 20, against all."""
+    return neighbours.nearest(table(spark, root, "chunks_vec"), key="chunk_id", vec="embedding", dim=neighbours.DIM, queries=F.col("chunk_id") % 20 == 0, probes=16)
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return function_docs.anchor_functions(table(spark, root, "anchors")).select("id", "func_name").distinct()
 
@@ -65,7 +76,7 @@ def p9_kinds(spark: SparkSession, root: str) -> DataFrame:
     return out.groupBy("source", "kind").agg(F.count("*").alias("n_docs"))
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_chosen": p8_chosen, "p8_shares": p8_shares, "p9_found": p9_found, "p9_kinds": p9_kinds}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_nearest": p3_nearest, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_chosen": p8_chosen, "p8_shares": p8_shares, "p9_found": p9_found, "p9_kinds": p9_kinds}
 
 SQL = {
     # every shingle's whole list joined with itself and counted
@@ -75,6 +86,15 @@ g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i:
 n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
 o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared FROM g a JOIN g b ON a.s = b.s AND a.id < b.id GROUP BY a.id, b.id)
 SELECT id_a, id_b FROM o JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE shared >= 0.7 * (x.n + y.n - shared)
+""",
+    # brute force: every usable vector with every other
+    "p3_found": """
+WITH v AS (SELECT 'anchors' AS t, id AS k, overview_embedding AS e FROM anchors WHERE len(overview_embedding) = 64
+           UNION ALL SELECT 'chunks_vec', CAST(chunk_id AS VARCHAR), embedding FROM (SELECT DISTINCT chunk_id, embedding FROM chunks_vec) WHERE len(embedding) = 64),
+u AS (SELECT t, k, list_transform(e, lambda x: x / n)::DOUBLE[64] AS e FROM (SELECT t, k, e, sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x))) AS n FROM v) WHERE n > 0),
+p AS (SELECT a.t, a.k AS ka, b.k AS kb, array_inner_product(a.e, b.e) AS s FROM u a JOIN u b ON a.t = b.t AND a.k <> b.k),
+r AS (SELECT t, ka, kb, s, row_number() OVER (PARTITION BY t, ka ORDER BY s DESC, kb) AS n FROM p WHERE s >= 0.9)
+SELECT DISTINCT t AS vec_table, least(ka, kb) AS key_a, greatest(ka, kb) AS key_b FROM r WHERE n <= 5
 """,
     "p6_found": r"""
 SELECT DISTINCT item_kind, item_key FROM (
