@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.code_trees import LANGUAGES, functions, walk
+from lodestrata.functions.code_trees import LANGUAGES, functions, walk
 
 # Words of placeholders and of notes to write the documentation later, in four languages.
 META_WORDS = set(
