@@ -91,7 +91,9 @@ def verify(claims: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame
     common. Claims of other types can't be verified here."""
     last = lambda c: F.regexp_extract(F.regexp_replace(c, r"\(\)$", ""), r"([^.]+)$", 1)
     sy = claims.where("claim_type = 'symbol_exists'").select("claim_id", "claim_type", F.regexp_replace("subject", r"\(\)$", "").alias("s"))
-    forms = sy.select("claim_id", "claim_type", F.explode(F.array(F.struct(F.lit(1).alias("step"), F.concat(F.lit("x:"), F.col("s")).alias("k")), F.struct(F.lit(2), F.concat(F.lit("l:"), last(F.col("s")))), F.struct(F.lit(3), F.concat(F.lit("i:"), F.lower(last(F.col("s"))))))).alias("f")).select("claim_id", "claim_type", "f.*")
+    step = lambda n, k: F.struct(F.lit(n).alias("step"), k.alias("k"))
+    tried = F.array(step(1, F.concat(F.lit("x:"), F.col("s"))), step(2, F.concat(F.lit("l:"), last(F.col("s")))), step(3, F.concat(F.lit("i:"), F.lower(last(F.col("s"))))))
+    forms = sy.select("claim_id", "claim_type", F.inline(tried))
     names = symbols.where("name is not null").select("name").distinct()
     keys = names.select(F.explode(F.array(F.concat(F.lit("x:"), F.col("name")), F.concat(F.lit("l:"), last(F.col("name"))), F.concat(F.lit("i:"), F.lower(last(F.col("name")))))).alias("k")).distinct().withColumn("hit", F.lit(True))
     found = forms.join(keys, "k", "left").groupBy("claim_id", "claim_type").agg(F.min(F.when(F.col("hit"), F.col("step"))).alias("step"))
