@@ -6,7 +6,7 @@ inverted list a vector lies in; a query looks into the lists of its ``probes`` b
 product with every coded vector is read from tables (query times codewords, one lookup a codebook), divided by the
 stored norm, and the best ``rerank`` are scored again with the exact vectors.
 
-Codebooks are fitted on at most ``FIT_ROWS`` vectors; every vector is indexed. Lists are put into groups of neighbouring
+Codebooks are fitted on about ``FIT_ROWS`` vectors taken by hash (never more than twice that); every vector is indexed. Lists are put into groups of neighbouring
 lists, so that a query is sent once to a group and not once to each list; a group that is hot on either side
 is split into blocks. Copies of one vector are one query, and of its keys only the k+1 least are indexed: as ties
 are broken by key, no other can be among the k nearest of anything.
@@ -189,11 +189,15 @@ def nearest(df: DataFrame, *, key: str, vec: str, dim: int, k: int = 5, queries:
     kt = df.schema[key].dataType.simpleString()
     rows = df.where(F.col(key).isNotNull() & usable(F.col(vec), dim)).select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vec"), F.coalesce(ask, F.lit(False)).alias("asks"))
     rows = rows.select("key", F.col("vec").cast("array<float>").alias("vec"), "asks", F.xxhash64("vec").alias("h"))
-    sample = rows.select("vec", "h", "key").orderBy(F.xxhash64("h", "key")).limit(FIT_ROWS).select("vec").toArrow()
+    total = rows.count()
+    # each vector by its hash with the same chance, so the sample needs no sort; the limit only guards its size
+    take = F.pmod(F.xxhash64("h", "key"), F.lit(1_000_000)) < F.lit(min(1_000_000, max(1, 1_000_000 * FIT_ROWS // max(total, 1))))
+    sample = rows.where(take).select("vec").limit(2 * FIT_ROWS).toArrow()
+    if not sample.num_rows:
+        sample = rows.select("vec").limit(FIT_ROWS).toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], f"key {kt}, neighbour {kt}, similarity double, rank int")
-    x = _unit(sample["vec"].combine_chunks() if sample["vec"].num_chunks != 1 else sample["vec"].chunk(0), dim)
-    total = rows.count()
+    x = _unit(sample["vec"].combine_chunks(), dim)
     shared = spark.sparkContext.broadcast(fit(x, max(1, min(MOST_LISTS, len(x) // 4 or 1, round(total / list_rows)))))
     q = shared.value
     members = rows.select("h", "key", "asks")
