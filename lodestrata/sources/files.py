@@ -20,7 +20,7 @@ def skip_reason(content: Column, most: int = MAX_BYTES) -> Column:
 
 def repository(spark: SparkSession, root: str) -> DataFrame:
     """``path, content, kind, skip_reason`` of all files under ``root``; noise folders are pruned by their path. Contents are
-    read only where a later step asks for them."""
+    read only where a later step asks for them. Files without a byte are not listed by Spark's file source."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/") + "/"
     rel = F.regexp_replace(F.col("path"), "^.*?" + base.replace(".", r"\."), "")
