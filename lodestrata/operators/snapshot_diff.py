@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 32
+CHUNK_ROWS = 8
 
 
 def ordered_runs(runs: DataFrame, *, run_id: str, series: list[str], order_by: str) -> DataFrame:
