@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.code_trees import LANGUAGES, Function, functions
+from lodestrata.session import spread
 
 MAX_DEPTH = 4
 _FENCE = re.compile(r"^\s*(```+|~~~+)\s*([\w+-]*)")
@@ -114,7 +115,7 @@ def _markdown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def markdown_anchors(docs: DataFrame) -> DataFrame:
     """Sections (to heading level 4) and named code blocks of documents (``doc, text``), in one pass without a shuffle. Null
     texts give nothing."""
-    return docs.where("doc is not null and text is not null").select(F.col("doc").cast("string"), "text").mapInArrow(_markdown, MARKDOWN)
+    return spread(docs.where("doc is not null and text is not null").select(F.col("doc").cast("string"), "text")).mapInArrow(_markdown, MARKDOWN)
 
 
 SYMBOLS = "path string, language string, symbol_name string, qualified_name string, depth int, start int, stop int, is_documented boolean"
@@ -139,4 +140,4 @@ def code_symbols(files: DataFrame) -> DataFrame:
     """Named functions and methods, nested ones with their outer names, of source files (``path, text``)."""
     end = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
     lang = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[end]
-    return files.where("text is not null").select("path", lang.alias("language"), "text").where("language is not null").mapInArrow(_code, SYMBOLS)
+    return spread(files.where("text is not null").select("path", lang.alias("language"), "text").where("language is not null")).mapInArrow(_code, SYMBOLS)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -57,5 +56,8 @@ def materialize(df: DataFrame, *, partitions_by: list[str] | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(at)
 
 
-def test_data(default: str = "/root/testdata") -> str:
-    return os.environ.get("LODESTRATA_TESTDATA", default)
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan for work that is heavy per row: a scan of fewer partitions than the session has cores (one small file) is
+    dealt out first. Where data is large there are more partitions than cores and nothing is moved."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
