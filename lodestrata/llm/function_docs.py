@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.code_trees import LANGUAGES, functions, walk
+from lodestrata.session import spread
 
 # Words of placeholders and of notes to write the documentation later, in four languages.
 META_WORDS = set(
@@ -93,7 +94,7 @@ def function_docs(df: DataFrame, *, key: str, path: str, text: str) -> DataFrame
     ending = F.lower(F.regexp_extract(F.col(path), r"\.(\w+)$", 1))
     language = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[ending]
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("id"), language.alias("language"), F.col(text).alias("text"))
-    return rows.where(F.col("language").isNotNull()).mapInArrow(_pairs, SCHEMA)
+    return spread(rows.where(F.col("language").isNotNull())).mapInArrow(_pairs, SCHEMA)
 
 
 def anchor_functions(anchors: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.session import materialize
+from lodestrata.session import materialize, spread
 
 SKETCH_BITS = 20
 FILTER_BITS = 24
@@ -38,8 +38,9 @@ EPS = 1e-9
 def shingle_sets(df: DataFrame, *, key: str, text: str, width: int) -> DataFrame:
     """``_id, _set, _c, _d``: sorted distinct 64-bit hashes of ``width`` successive words (runs of a-z and 0-9 after
     lowering), and two hashes of the set. Rows without key or without any shingle are left out."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))
-    docs = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_id"), words.alias("_w")).where(F.size("_w") >= width)
+    words = F.regexp_extract_all(F.lower("_text"), F.lit("[a-z0-9]+"), F.lit(0))
+    rows = spread(df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.col(text).alias("_text")))
+    docs = rows.select("_id", words.alias("_w")).where(F.size("_w") >= width)
     each = F.transform(F.sequence(F.lit(0), F.size("_w") - width), lambda i: F.xxhash64(*[F.get(F.col("_w"), i + j) for j in range(width)]))
     sets = docs.select("_id", F.sort_array(F.array_distinct(each)).alias("_set"))
     return sets.select("_id", "_set", F.xxhash64("_set").alias("_c"), F.xxhash64(F.lit(1), "_set").alias("_d"))

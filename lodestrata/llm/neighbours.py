@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.session import materialize
+from lodestrata.session import materialize, spread
 
 FIT_ROWS = 20_000
 #: Vectors of an inverted list on average, most lists, lists of a group.
@@ -187,8 +187,9 @@ def nearest(df: DataFrame, *, key: str, vec: str, dim: int, k: int = 5, queries:
     spark = df.sparkSession
     ask = queries if queries is not None else F.lit(True)
     kt = df.schema[key].dataType.simpleString()
-    rows = df.where(F.col(key).isNotNull() & usable(F.col(vec), dim)).select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vec"), F.coalesce(ask, F.lit(False)).alias("asks"))
-    rows = rows.select("key", F.col("vec").cast("array<float>").alias("vec"), "asks", F.xxhash64("vec").alias("h"))
+    given = spread(df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vec).alias("vec"), F.coalesce(ask, F.lit(False)).alias("asks")))
+    rows = given.where(usable(F.col("vec"), dim)).select("key", F.col("vec").cast("array<float>").alias("vec"), "asks")
+    rows = rows.withColumn("h", F.xxhash64("vec"))
     total = rows.count()
     # each vector by its hash with the same chance, so the sample needs no sort; the limit only guards its size
     take = F.pmod(F.xxhash64("h", "key"), F.lit(1_000_000)) < F.lit(min(1_000_000, max(1, 1_000_000 * FIT_ROWS // max(total, 1))))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.session import materialize
+from lodestrata.session import materialize, spread
 
 # Forms of unfilled slots.
 SLOTS = [
@@ -175,7 +175,7 @@ def line_counts(docs: DataFrame, *, text: str, source: str) -> DataFrame:
 def suspects(docs: DataFrame, *, key: str, text: str) -> DataFrame:
     """``doc_id, text, slots`` of the documents with residue and of those whose first and last line may both belong to
     a page: the one scan that looks at whole texts."""
-    one = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    one = spread(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
     blank = F.lit(" \n\r\t\f")
     body = F.replace(F.trim(F.col("text"), blank), F.lit("\r"), F.lit("\n"))
     ends = one.select("doc_id", "text", F.substring_index(body, "\n", 1).alias("first"), F.substring_index(body, "\n", -1).alias("last"))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import spread
+
 WORD = r"[^ \t\n\r]+"
 #: Penalties of a cut: blank line, sentence end, line end, and the same inside a code fence, then within a line.
 BLANK, SENTENCE, LINE, FENCED, INSIDE = 0.0, 2.0, 3.0, 8.0, 40.0
@@ -159,7 +161,7 @@ def pieces(items: DataFrame, limit: Limit = Limit()) -> DataFrame:
     if limit.overlap * 2 > limit.words:
         raise ValueError("the overlap takes more than half of a piece")
     big = items.where(F.col("text").isNotNull() & (F.floor(word_count(F.col("text")) * limit.num / limit.den) > limit.max_tokens))
-    return big.select("item_kind", "item_key", "text").mapInArrow(lambda it: _pieces(it, limit), SCHEMA)
+    return spread(big.select("item_kind", "item_key", "text")).mapInArrow(lambda it: _pieces(it, limit), SCHEMA)
 
 
 def oversized_pieces(anchors: DataFrame, chunks: DataFrame, limit: Limit = Limit()) -> DataFrame:

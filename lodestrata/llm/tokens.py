@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import spread
+
 FOLDER = os.environ.get("LODESTRATA_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -44,4 +46,4 @@ def with_tokens(df: DataFrame, *, text: str, keep: list[str], folder: str = FOLD
             n = np.fromiter((len(e.encode_ordinary(t)) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()), dtype=np.int32, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n)], names=[*b.schema.names[:-1], "n_tokens"])
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(op, schema)
+    return spread(df.select(*keep, F.col(text).alias("_text"))).mapInArrow(op, schema)
