@@ -2,8 +2,8 @@
 
 A text of ``n`` distinct shingles reaches the Jaccard bound ``t`` only with texts that hold at least ``T = ceil(t n)``
 of them. Of its ``n`` inverted lists the ``T - m`` longest are set aside; whoever shares ``T`` shingles must occur at
-least ``m`` times in the remaining short lists. Only short lists are built, shuffled and merged: the merge is the sort
-of the shuffle by candidate pair, where occurrences are counted. Candidates are then probed for the long lists by binary
+least ``m`` times in the remaining short lists. Only short lists are built, shuffled and merged: they are
+sorted by list, and the pairs that meet in them by pair, where occurrences are counted. Candidates are then probed for the long lists by binary
 search in their sorted shingles, and those that reach the overlap which the bound asks of both sizes are kept. Nothing
 is left out: the two conditions are necessary for every pair above the bound.
 
@@ -97,6 +97,61 @@ def _short_lists(batches: Iterator[pa.RecordBatch], lengths, bound: float, hits:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s, q, whole, c[doc[src]], blk, n[doc[src]].astype(np.int32), p)], names=["s", "q", "whole", "c", "blk", "n", "p"])
 
 
+def _meet(batches: Iterator[pa.RecordBatch], bound: float) -> Iterator[pa.RecordBatch]:
+    """Pairs that meet in a list, from postings sorted by list: ``a, b, na, nb`` (the lesser class first) and ``most``, what
+    both can share if this is the first shingle they share. Lists of one class, most of all, are dropped at once."""
+    names = ["s", "q", "whole", "c", "blk", "n", "p"]
+    rest: list[np.ndarray] | None = None
+
+    def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        s, q, whole, c, blk, n, p = cols
+        new = np.ones(len(s), dtype=bool)
+        new[1:] = (s[1:] != s[:-1]) | (q[1:] != q[:-1])
+        g = np.cumsum(new) - 1
+        keep = np.bincount(g)[g] > 1
+        if not keep.any():
+            return
+        g, whole, c, blk, n, p = (x[keep] for x in (g, whole, c, blk, n, p))
+        order = np.lexsort((c, n, g))
+        g, whole, c, blk, n, p = (x[order] for x in (g, whole, c, blk, n, p))
+        one = np.ones(len(g), dtype=bool)  # copies that other tasks sent
+        one[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+        g, whole, c, blk, n, p = (x[one] for x in (g, whole, c, blk, n, p))
+        i = np.arange(len(g))
+        out: list[tuple] = []
+        held, d = 0, 0
+        while len(i):
+            d += 1
+            i = i[i + d < len(g)]
+            # sizes rise within a list: once a partner is too large all further ones are
+            i = i[(g[i] == g[np.minimum(i + d, len(g) - 1)])]
+            i = i[n[i] >= bound * n[i + d] - EPS]
+            j = i + d
+            ok = (whole[i] | (blk[i] != blk[j])) & (c[i] != c[j])
+            x, y = i[ok], j[ok]
+            if len(x):
+                swap = c[x] > c[y]
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                out.append((c[x], c[y], n[x], n[y], np.minimum(n[x] - p[x], n[y] - p[y])))
+                held += len(x)
+            if held > 200_000 or (held and not len(i)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out)], names=["a", "b", "na", "nb", "most"])
+                out, held = [], 0
+
+    for b in batches:
+        cols = [b.column(b.schema.get_field_index(x)).to_numpy(zero_copy_only=False) for x in names]
+        if rest is not None:
+            cols = [np.concatenate([r, x]) for r, x in zip(rest, cols)]
+        s, q = cols[0], cols[1]
+        if not len(s):
+            continue
+        cut = len(s) - int(np.argmin(((s == s[-1]) & (q == q[-1]))[::-1])) if not ((s == s[-1]) & (q == q[-1])).all() else 0
+        yield from pairs([x[:cut] for x in cols]) if cut else ()
+        rest = [x[cut:] for x in cols]
+    if rest is not None and len(rest[0]):
+        yield from pairs(rest)
+
+
 def _bitmap(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(1 << bits, dtype=bool)
     for b in batches:
@@ -139,19 +194,9 @@ def similar_classes(sets: DataFrame, *, bound: float, sketch_bits: int = SKETCH_
     """Pairs of different classes at or above the bound: ``a, da, b, db`` (hashes of the sets), ``similarity``."""
     sc = sets.sparkSession.sparkContext
     lengths = sc.broadcast(list_lengths(sets, sketch_bits))
-    lists = (
-        sets.select("_c", "_set")
-        .mapInArrow(lambda it: _short_lists(it, lengths, bound, hits, LIST_ROWS), "s long, q int, whole boolean, c long, blk int, n int, p int")
-        .repartition("s", "q")
-        .dropDuplicates(["s", "q", "c"])
-    )
-    x, y = lists.alias("x"), lists.alias("y")
-    apart = F.col("x.whole") | (F.col("x.blk") != F.col("y.blk"))
-    fewer, more = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.q") == F.col("y.q")) & (F.col("x.c") < F.col("y.c")) & apart & (fewer >= bound * more - EPS))
-    # what both can share if this is the first shingle they share; largest at the one that is
-    most = 1 + F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) - 1
-    pairs = met.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), most.alias("most"))
+    postings = sets.select("_c", "_set").mapInArrow(lambda it: _short_lists(it, lengths, bound, hits, LIST_ROWS), "s long, q int, whole boolean, c long, blk int, n int, p int")
+    lists = postings.repartition("s", "q").sortWithinPartitions("s", "q")
+    pairs = lists.mapInArrow(lambda it: _meet(it, bound), "a long, b long, na int, nb int, most int")
     merged = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("hits"), F.max("most").alias("most"))
     need = F.least(F.lit(hits), F.ceil(bound * F.least("na", "nb") - EPS))
     reach = bound / (1 + bound) * (F.col("na") + F.col("nb")) - EPS
