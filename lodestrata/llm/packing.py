@@ -41,8 +41,6 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
         out[i] = b
         if room > s or s == 0:
             insort(rooms, (room - s, b))
-        elif room == s and n < 0:
-            break
     return out
 
 
@@ -138,7 +136,7 @@ def _round(items: DataFrame, shards: int, capacity: int, number: int) -> DataFra
         return pdf.assign(container=[f"{number}-{shard}-{x}" for x in b], fill=full[b].astype(np.int64))[["item_key", "part", "copy", "n_tokens", "container", "fill"]]
 
     key = items.schema["item_key"].dataType.simpleString()
-    return dealt.groupBy("_shard").applyInPandas(one, f"item_key {key}, part int, copy int, n_tokens int, container string, fill long")
+    return dealt.groupBy("_shard").applyInPandas(one, f"item_key {key}, part int, copy long, n_tokens int, container string, fill long")
 
 
 def pack(items: DataFrame, *, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, good_fill: float = GOOD_FILL) -> DataFrame:
@@ -150,10 +148,13 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, shard_items: int = SHARD
     a key like any other. A null or negative size counts as 0. An empty table gives no rows."""
     size = F.greatest(F.coalesce(F.col("n_tokens"), F.lit(0)), F.lit(0))
     n = items.select("item_key", size.alias("n")).groupBy("item_key", "n").agg(F.count("*").alias("times"))
-    copies = n.select("item_key", "n", F.explode(F.sequence(F.lit(0), (F.col("times") - 1).cast("int"))).alias("copy"))
+    # in steps, so that no array grows with the number of repeats
+    step = 100_000
+    spans = n.select("item_key", "n", "times", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / step))).alias("m"))
+    copies = spans.select("item_key", "n", F.explode(F.sequence(F.col("m") * step, F.least((F.col("m") + 1) * step, F.col("times")) - 1)).alias("copy"))
     last = F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)).cast("int")
     parts = copies.select("item_key", "copy", "n", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("part"))
-    sized = materialize(parts.select("item_key", "part", "copy", F.when(F.col("part") < F.col("last"), capacity).otherwise(F.col("n") - F.col("last") * capacity).cast("int").alias("n_tokens")))
+    sized = materialize(parts.select("item_key", F.col("part").cast("int").alias("part"), "copy", F.when(F.col("part") < F.col("last"), capacity).otherwise(F.col("n") - F.col("last") * capacity).cast("int").alias("n_tokens")))
     whole = sized.where(F.col("n_tokens") == capacity)
     rest = sized.where(F.col("n_tokens") < capacity)
     count = max(1, rest.count())
