@@ -16,14 +16,13 @@ def unlinked(pairs: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(near: DataFrame, anchors: DataFrame, live: DataFrame, *, most: int | None = None) -> DataFrame:
-    """``a, b, similarity, pair_pos``: similar sections and code without a link. ``near`` (a, b, similarity) comes from a
-    search; each unordered pair counts once."""
+    """``a, b, similarity``: similar sections and code without a link, the first ``most`` if a cap is asked for. ``near`` (a, b,
+    similarity) comes from a search; each unordered pair counts once."""
     kinds = anchors.select("id", "anchor_type")
     p = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("similarity").alias("similarity"))
     p = p.join(kinds.select(F.col("id").alias("a"), F.col("anchor_type").alias("ta")), "a").join(kinds.select(F.col("id").alias("b"), F.col("anchor_type").alias("tb")), "b")
     p = unlinked(p.where("(ta = 'section') <> (tb = 'section')"), live).select("a", "b", "similarity")
-    out = p.withColumn("pair_pos", F.row_number().over(Window.orderBy(F.desc("similarity"), "a", "b"))) if most is None else p.orderBy(F.desc("similarity"), "a", "b").limit(most)
-    return out
+    return p if most is None else p.orderBy(F.desc("similarity"), "a", "b").limit(most)
 
 
 def audit_pairs(live: DataFrame, near: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -37,13 +36,18 @@ def audit_pairs(live: DataFrame, near: DataFrame, anchors: DataFrame) -> DataFra
     return linked.select("section_id", "code_id", F.lit("link").alias("origin")).unionByName(rest.select("section_id", "code_id", F.lit("similar").alias("origin")))
 
 
-def payloads(pairs: DataFrame, anchors: DataFrame, *, batch: int = 20, doc_chars: int = 1500, code_chars: int = 2000) -> DataFrame:
-    """``batch_no, payload``: pairs numbered p_0, p_1, ... in batches, as JSON with both texts cut to length."""
+def payloads(pairs: DataFrame, anchors: DataFrame, *, batch: int = 20, lanes: int = 64, doc_chars: int = 1500, code_chars: int = 2000) -> DataFrame:
+    """``batch_no, payload``: pairs in batches, as JSON with both texts cut to length. Pairs are dealt by hash into ``lanes`` that
+    are numbered on their own, so no task sees them all; a pair's id is its lane and number. Batches but the last of each
+    lane are full."""
+    lane = F.pmod(F.xxhash64("section_id", "code_id"), F.lit(lanes)).cast("int")
+    n = F.row_number().over(Window.partitionBy("lane").orderBy("section_id", "code_id")) - 1
     a = anchors.select(F.col("id"), F.col("content_text"))
-    n = F.row_number().over(Window.orderBy("section_id", "code_id")) - 1
-    j = pairs.select("section_id", "code_id").join(a.select(F.col("id").alias("section_id"), F.substring("content_text", 1, doc_chars).alias("doc")), "section_id").join(a.select(F.col("id").alias("code_id"), F.substring("content_text", 1, code_chars).alias("code")), "code_id")
-    j = j.withColumn("n", n).withColumn("item", F.struct("n", F.concat(F.lit("p_"), F.col("n").cast("string")).alias("pair_id"), "section_id", "code_id", "doc", "code"))
-    return j.groupBy((F.col("n") / batch).cast("int").alias("batch_no")).agg(F.to_json(F.transform(F.array_sort(F.collect_list("item")), lambda x: x.dropFields("n"))).alias("payload"))
+    numbered = pairs.select("section_id", "code_id").distinct().withColumn("lane", lane).withColumn("n", n)
+    j = numbered.join(a.select(F.col("id").alias("section_id"), F.substring("content_text", 1, doc_chars).alias("doc")), "section_id").join(a.select(F.col("id").alias("code_id"), F.substring("content_text", 1, code_chars).alias("code")), "code_id")
+    j = j.withColumn("item", F.struct("n", F.format_string("p_%d_%d", "lane", "n").alias("pair_id"), "section_id", "code_id", "doc", "code"))
+    no = (F.floor(F.col("n") / batch) * lanes + F.col("lane")).cast("long")
+    return j.groupBy(no.alias("batch_no")).agg(F.to_json(F.transform(F.array_sort(F.collect_list("item")), lambda x: x.dropFields("n"))).alias("payload"))
 
 
 def judged(responses: DataFrame, pairs: DataFrame, *, least: float = 0.7) -> DataFrame:

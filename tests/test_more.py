@@ -73,3 +73,21 @@ def test_judges(spark):
     assert [r.pair_id for r in P.responses(P.judge(pay, Odd())).collect()] == ["p_0"]
     ans = spark.createDataFrame([("a", "b", "call"), ("a", "b", "call"), ("c", "b", "extends")], "caller string, callee string, kind string")
     assert P.call_edges(ans).count() == 1 and [tuple(r) for r in P.subclasses(ans).collect()] == [("b", "c")]
+
+
+def test_payloads_and_candidates(spark):
+    from lodestrata.operators import suggest as S
+
+    anchors = spark.createDataFrame([(f"s{i}", "section", "d" * 3000) for i in range(3)] + [(f"c{i}", "code", None if i == 5 else "c" * 3000) for i in range(30)], "id string, anchor_type string, content_text string")
+    pairs = spark.createDataFrame([(f"s{i % 3}", f"c{i}") for i in range(30)] + [("s0", "c0")], "section_id string, code_id string")
+    import json
+
+    got = [json.loads(r.payload) for r in S.payloads(pairs, anchors, batch=4, lanes=2).collect()]
+    flat = [p for b in got for p in b]
+    assert len(flat) == len({p["pair_id"] for p in flat}) == 30 and max(map(len, got)) == 4
+    assert all(len(p["doc"]) == 1500 and len(p.get("code", "c" * 2000)) == 2000 for p in flat)
+    near = spark.createDataFrame([("s0", "c0", 0.9), ("c0", "s0", 0.8), ("s1", "s2", 0.9), ("s1", "c1", 0.7), ("s2", "c2", 0.6)], "a string, b string, similarity double")
+    live = spark.createDataFrame([("c1", "s1")], "from_id string, to_id string")
+    assert [tuple(r) for r in S.candidate_pairs(near, anchors, live, most=5).collect()] == [("c0", "s0", 0.9), ("c2", "s2", 0.6)]
+    audit = {tuple(r) for r in S.audit_pairs(live, near, anchors).collect()}
+    assert audit == {("s1", "c1", "link"), ("s0", "c0", "similar"), ("s2", "c2", "similar")}
