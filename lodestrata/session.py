@@ -56,8 +56,19 @@ def materialize(df: DataFrame, *, partitions_by: list[str] | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(at)
 
 
+def _names(plan) -> set[str]:
+    out = {plan.nodeName()}
+    kids = plan.children()
+    for i in range(kids.size()):
+        out |= _names(kids.apply(i))
+    return out
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan for work that is heavy per row: a scan of fewer partitions than the session has cores (one small file) is
-    dealt out first. Where data is large there are more partitions than cores and nothing is moved."""
+    dealt out first. Where data is large there are more partitions than cores and nothing is moved. Anything but filtered
+    scans is left as it is: to count its partitions would run it."""
+    if any(n.split()[0] not in ("Project", "Filter", "Relation", "LogicalRelation", "LocalRelation", "LogicalRDD", "Union") for n in _names(scan._jdf.queryExecution().optimizedPlan())):
+        return scan
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
