@@ -161,12 +161,12 @@ def pieces(items: DataFrame, limit: Limit = Limit()) -> DataFrame:
     if limit.overlap * 2 > limit.words:
         raise ValueError("the overlap takes more than half of a piece")
     big = items.where(F.col("text").isNotNull() & (F.floor(word_count(F.col("text")) * limit.num / limit.den) > limit.max_tokens))
-    return spread(big.select("item_kind", "item_key", "text")).mapInArrow(lambda it: _pieces(it, limit), SCHEMA)
+    return big.select("item_kind", "item_key", "text").mapInArrow(lambda it: _pieces(it, limit), SCHEMA)
 
 
 def oversized_pieces(anchors: DataFrame, chunks: DataFrame, limit: Limit = Limit()) -> DataFrame:
     """Pieces of anchors (content_text) and stored sub-chunks (text) above the limit; a sub-chunk stored twice counts once."""
-    a = anchors.select(F.lit("anchor").alias("item_kind"), F.col("id").alias("item_key"), F.col("content_text").alias("text"))
+    a = spread(anchors.select(F.lit("anchor").alias("item_kind"), F.col("id").alias("item_key"), F.col("content_text").alias("text")))
     c = chunks.select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").cast("string").alias("item_key"), "text")
     big = c.where(F.floor(word_count(F.col("text")) * limit.num / limit.den) > limit.max_tokens).distinct()
     return pieces(a.unionByName(big), limit)
