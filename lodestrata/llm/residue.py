@@ -1,18 +1,21 @@
 """Documents that hold template residue or filler, or that are nothing but an error page or a notice about scripts.
 
-Two ways, both over whole texts:
-
-* A slot or filler may stand anywhere outside code, so it is looked for by rule in the text without code fences and
-  inline code.
-* An error page is told by all of its lines. Lines are normalised (marks, tags and case off; numbers, dates, addresses
-  and hexadecimal ids masked) and hashed; one aggregation over all documents counts how often and in how many sources
-  each short line occurs. Phrase rules run once per distinct line. A document is a page if one line at least is an
-  error or a notice and every other line is page furniture: known furniture, or a short line that recurs across
-  sources. Only documents whose first and last line can both belong to a page are taken apart.
+All lines of all documents, of any length, and their sentences are normalised (marks, tags and case off; numbers, dates,
+addresses and hexadecimal ids masked) and hashed; one aggregation counts in how many documents and sources each occurs.
+What recurs across sources is judged by wider rules than what doesn't:
+
+* A slot or filler may stand anywhere outside code. Unmistakable ones are looked for by rule in the text without code
+  fences and inline code; a sentence that only sounds like filler counts if it recurs.
+* An error page is told by all of its lines. A document is a page if one line at least is an error or a notice (by
+  rule, or a line that sounds like one and recurs) and every other line is page furniture: known furniture, or a line
+  that recurs.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +58,18 @@ FILLER = [
     r"\binsert the (?:body|text|content) of (?:the|this) \w+ here\b",
     r"\bdummy (?:paragraph|text|copy) used to check the layout\b",
     r"\bthis is (?:placeholder|dummy|filler) (?:copy|text)\b",
+    r"\btype something meaningful in this box\b",
+    r"\b(?:put|write|paste|enter|add|insert|type) (?:a|an|the|your|some) (?:\w+ ){0,2}(?:intro|introduction|copy|content|words|text|paragraph|summary) here\b",
+    r"\bhier (?:steht|kommt|folgt|erscheint) (?:\S+ )?(?:ihr|dein|euer|der) (?:text|inhalt)\b",
+    r"\b(?:dies|das|hier) ist (?:nur |lediglich )?(?:ein |der )?(?:blind|muster|platzhalter|füll)text\b",
+    r"\bbitte diesen (?:blind|muster|platzhalter|füll)text (?:\S+ )?ersetzen\b",
+    r"\b(?:votre|le) (?:texte|contenu) (?:viendra|ira|apparaîtra|sera placé) ici\b",
+    r"\bceci est (?:un|du) (?:faux[ -]texte|texte (?:factice|fictif|de remplissage))\b",
+    r"\btexte (?:factice|fictif|de remplissage),? (?:à|en attente de) rempla",
+    r"\baqu[ií] (?:irá|va|aparecerá) (?:su|tu|el) (?:texto|contenido)\b",
+    r"\b(?:escriba|escribe|inserte|introduzca|ponga) aquí (?:el|su|tu) (?:texto|contenido)\b",
+    r"\b(?:esto|este) es (?:un )?texto (?:de relleno|simulado|ficticio)\b",
+    r"\btexto (?:de relleno|simulado|ficticio),? (?:pendiente de|por|para) (?:sustitu|reempla)",
     r"\b(?:(?:" + "|".join(BLIND_WORDS) + r")\b[\s.,]*){5,}",
 ]
 
@@ -84,6 +99,10 @@ ERRORS = [
     r"the (?:upstream|origin|backend)(?: server| service)? .{1,80}",
     r"unhandled exception while rendering this (?:view|page)\.?",
     r"\{\"(?:message|error|code|status)\":.*\}",
+    r"(?:your|the|this) session (?:has )?(?:expired|timed out|ended)\b.*",
+    r"(?:ihre|deine) sitzung ist abgelaufen.*",
+    r"votre session a expiré.*",
+    r"(?:su|tu|la) sesión ha (?:caducado|expirado).*",
 ]
 
 # Whole lines that tell the reader to allow scripts.
@@ -100,8 +119,18 @@ NOTICES = [
     r"cette (?:application|page) (?:ne )?(?:fonctionne|marche).{0,40}scripts?.{0,20}",
     r"(?:active|habilite|por favor,? active) " + _SCRIPT + r"\b.{0,80}",
     r"esta (?:aplicación|página) (?:no )?funciona .{0,30}scripts?.{0,30}",
+    r"diese (?:anwendung|seite) (?:benötigt|erfordert|braucht) .{0,40}(?:skripte?|javascript).{0,40}",
+    r"cette (?:application|page) (?:exige|nécessite|requiert) .{0,40}(?:scripts?|javascript).{0,40}",
+    r"esta (?:aplicación|página) (?:exige|necesita|requiere) .{0,40}(?:scripts?|javascript).{0,40}",
 ]
 
+# Sentences that sound like filler, which must recur to count: what they hold, or how they begin and end.
+FILLER_WORDS = """placeholder text|placeholder copy|placeholder content|dummy text|dummy copy|filler text|blindtext|mustertext|platzhaltertext|fülltext|faux texte|faux-texte|texte factice|texte fictif|texte de remplissage|texte provisoire|texto de relleno|texto ficticio|texto simulado|texto provisional""".split("|")
+FILL_IN = r"\A(?:please |bitte |por favor,? )?(?:put|write|paste|enter|add|insert|type|schreiben|fügen|écrivez|saisissez|insérez|escriba|escribe|inserte|introduzca) .*(?:text|texte|texto|copy|content|contenu|contenido|inhalt|words|intro) (?:here|hier|ici|aquí)(?!\p{L})"
+
+# Words of lines that sound like an error or a notice, which must recur to count.
+MESSAGE_WORDS = """not found|does not exist|no longer exists|unavailable|not available|access denied|forbidden|expired|timed out|went wrong|nicht gefunden|nicht erreichbar|nicht verfügbar|verweigert|abgelaufen|introuvable|indisponible|refusé|expiré|no encontrad|no disponible|no está disponible|denegado|caducad|allow script|enable script|javascript|skripten|scripts activ|scripts autoris|scripts soient|los scripts""".split("|")
+
 # Lines that pages put around their message.
 FURNITURE = [
     r"menu|home|search|guides|reload|retry|back|notice|loading(?:\.\.\.|…)?|skip to content",
@@ -116,8 +145,9 @@ FURNITURE = [
     r"(?:incident|ticket|request|error|trace|support|ray|ref|reference)(?: id| code| number)?[: ]+[0#]\S*",
 ]
 
-#: A line that may be furniture by recurring has at most so many words and characters.
-SHORT_WORDS, SHORT_CHARS = 4, 80
+
+#: A line that may be furniture by recurring has at most so many words.
+SHORT_WORDS = 4
 
 
 def without_code(text: Column) -> Column:
@@ -155,61 +185,72 @@ def _lines(text: Column) -> Column:
     return F.split(F.replace(text, F.lit("\r"), F.lit("\n")), "\n")
 
 
-def _is_short(raw: Column, line: Column) -> Column:
-    return (F.length(raw) <= SHORT_CHARS) & (F.size(F.split(line, " ")) <= SHORT_WORDS)
+def _holds(text: Column, words: list[str]) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
+
+
+def _like_filler(unit: Column) -> Column:
+    return _holds(unit, FILLER_WORDS) | unit.rlike(FILL_IN)
 
 
 def _is_message(line: Column) -> Column:
     return line.rlike(_whole(ERRORS)) | line.rlike(_whole(NOTICES))
 
 
-def line_counts(docs: DataFrame, *, text: str, source: str) -> DataFrame:
-    """``h, n, n_sources`` of every short normalised line of all documents; sources fall into 63 classes, so their
-    number is a lower bound that needs one long per line."""
-    of = F.pmod(F.xxhash64(F.lower(F.trim(F.coalesce(F.col(source), F.lit(""))))), F.lit(63)).cast("int")
-    raw = docs.where(F.col(text).isNotNull()).select(of.alias("s"), F.explode_outer(_lines(F.col(text))).alias("raw")).where((F.length("raw") <= SHORT_CHARS) & (F.length("raw") > 0))
-    lines = raw.select("s", "raw", normal_line(F.col("raw")).alias("line")).where((F.col("line") != "") & _is_short(F.col("raw"), F.col("line")))
-    return lines.groupBy(F.xxhash64("line").alias("h")).agg(F.count("*").alias("n"), F.bit_count(F.bit_or(F.expr("shiftleft(1L, s)"))).alias("n_sources"))
+def _units(line: Column) -> Column:
+    """A normalised line and, if it has several, its sentences."""
+    several = F.contains(line, F.lit(". ")) | F.contains(line, F.lit("! ")) | F.contains(line, F.lit("? "))
+    return F.when(several, F.array_distinct(F.array_append(F.split(line, r"(?<=[.!?]) "), line))).otherwise(F.array(line))
+
 
+def _normal_lines(text: Column) -> Column:
+    return F.filter(F.transform(F.array_distinct(_lines(text)), normal_line), lambda x: x != "")
 
-def suspects(docs: DataFrame, *, key: str, text: str) -> DataFrame:
-    """``doc_id, text, slots`` of the documents with residue and of those whose first and last line may both belong to
-    a page: the one scan that looks at whole texts."""
-    one = spread(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
-    blank = F.lit(" \n\r\t\f")
-    body = F.replace(F.trim(F.col("text"), blank), F.lit("\r"), F.lit("\n"))
-    ends = one.select("doc_id", "text", F.substring_index(body, "\n", 1).alias("first"), F.substring_index(body, "\n", -1).alias("last"))
 
-    def may(raw: str) -> Column:
-        line = normal_line(F.col(raw))
-        return _is_short(F.col(raw), line) | line.rlike(_whole(ERRORS + NOTICES + FURNITURE))
+def scanned(docs: DataFrame, *, key: str, text: str, source: str) -> DataFrame:
+    """``doc_id, s, slots, open, text, units``: the one scan that looks at whole texts. ``units`` are the hashes of all
+    distinct lines and sentences; ``open`` tells the documents without residue by rule that hold a line or sentence that
+    is or sounds like a message or filler, and only they keep their text. Sources fall into 63 classes."""
+    of = F.pmod(F.xxhash64(F.lower(F.trim(F.coalesce(F.col(source), F.lit(""))))), F.lit(63)).cast("int")
+    one = spread(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), of.alias("s"), F.col(text).alias("text")))
+    cut = one.select("doc_id", "s", "text", _normal_lines(F.col("text")).alias("lines"), has_residue(F.col("text")).alias("slots")).withColumn("low", F.array_join("lines", "\n"))
+    units = F.array_distinct(F.flatten(F.transform("lines", lambda x: F.transform(_units(x), lambda y: F.xxhash64(y)))))
+    # whole texts are looked at before their lines, as few hold any of the words
+    message = _holds(F.col("low"), MESSAGE_WORDS) | F.exists("lines", _is_message)
+    filler = _holds(F.col("low"), FILLER_WORDS) | F.col("low").rlike(r"(?:te?xte?o?|copy|conten[tiu][a-z]*|inhalt|words|intro)\s+(?:here|hier|ici|aquí)")
+    judged = cut.select("doc_id", "s", "slots", "text", units.alias("units"), (~F.col("slots") & (message | filler)).alias("open"))
+    return judged.select("doc_id", "s", "slots", "open", F.when(F.col("open"), F.col("text")).alias("text"), "units")
+
 
-    return ends.select("doc_id", "text", has_residue(F.col("text")).alias("slots"), (may("first") & may("last")).alias("ends")).where(F.col("slots") | F.col("ends")).drop("ends")
+def line_counts(seen: DataFrame) -> DataFrame:
+    """``h, n, n_sources`` of every normalised line and sentence of all documents: in how many documents it occurs, and
+    in how many of 63 classes of sources, a lower bound that needs one long a line."""
+    return seen.select("s", F.explode("units").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.bit_count(F.bit_or(F.expr("shiftleft(1L, s)"))).alias("n_sources"))
 
 
-def line_kinds(lines: DataFrame, counts: DataFrame, *, min_rows: int, min_sources: int) -> DataFrame:
-    """``h, kind`` of distinct lines (``h, line, raw``): message, furniture or text. A short line that recurs in
-    ``min_rows`` lines of ``min_sources`` sources is furniture."""
-    line = F.col("line")
-    recurs = (F.col("n") >= min_rows) & (F.col("n_sources") >= min_sources) & F.col("short")
-    kind = F.when(_is_message(line), "message").when(line.rlike(_whole(FURNITURE)) | F.coalesce(recurs, F.lit(False)), "furniture").otherwise("text")
-    return lines.join(counts, "h", "left").select("h", kind.alias("kind"))
+def recurring(counts: DataFrame, total: int, *, min_share: float, min_rows: int, min_sources: int) -> DataFrame:
+    """``h, recurs`` of the lines and sentences that occur in ``min_share`` of all documents (``min_rows`` at least) and
+    in ``min_sources`` sources."""
+    return counts.where((F.col("n") >= max(min_rows, min_share * total)) & (F.col("n_sources") >= min_sources)).select("h", F.lit(True).alias("recurs"))
 
 
-def residue(docs: DataFrame, *, key: str, text: str, source: str, min_rows: int = 20, min_sources: int = 3) -> DataFrame:
+def residue(docs: DataFrame, *, key: str, text: str, source: str, min_share: float = 0.0, min_rows: int = 20, min_sources: int = 3) -> DataFrame:
     """``doc_id, kind`` of the documents to leave out: kind is residue (slots or filler, which comes first) or page.
 
     Null, empty and blank texts are no cases. A key that occurs twice is judged by each of its rows; rows are distinct.
     Other columns are not looked at. An empty table gives no rows."""
-    seen = materialize(suspects(docs, key=key, text=text))
+    seen = materialize(scanned(docs, key=key, text=text, source=source))
+    often = recurring(line_counts(seen), seen.count(), min_share=min_share, min_rows=min_rows, min_sources=min_sources)
     slots = seen.where("slots").select("doc_id", F.lit("residue").alias("kind"))
-    raw = seen.where("not slots").select("doc_id", F.xxhash64("text").alias("t"), F.explode_outer(_lines(F.col("text"))).alias("raw"))
-    lines = raw.select("doc_id", "t", "raw", normal_line(F.col("raw")).alias("line")).where(F.col("line") != "").withColumn("h", F.xxhash64("line"))
-    distinct = lines.groupBy("h").agg(F.first("line").alias("line"), F.max(_is_short(F.col("raw"), F.col("line"))).alias("short"))
-    kinds = line_kinds(distinct, line_counts(docs, text=text, source=source), min_rows=min_rows, min_sources=min_sources)
-    judged = lines.select("doc_id", "t", "h").distinct().join(kinds, "h").groupBy("doc_id", "t").agg(F.max(F.col("kind") == "message").alias("some"), F.max(F.col("kind") == "text").alias("other"))
+    asked = seen.where("open").select("doc_id", F.xxhash64("text").alias("t"), "text")
+    plain = asked.select("doc_id", F.explode(_normal_lines(without_code(F.col("text")))).alias("line")).select("doc_id", F.explode(_units(F.col("line"))).alias("unit"))
+    filler = plain.where(_like_filler(F.col("unit"))).select("doc_id", F.xxhash64("unit").alias("h")).join(often, "h", "left_semi").select("doc_id", F.lit("residue").alias("kind"))
+    line, recurs = F.col("line"), F.coalesce("recurs", F.lit(False))
+    lines = asked.select("doc_id", "t", F.explode(_normal_lines(F.col("text"))).alias("line")).withColumn("h", F.xxhash64("line")).join(often, "h", "left")
+    kind = F.when(_is_message(line) | (recurs & _holds(line, MESSAGE_WORDS)), "message").when(line.rlike(_whole(FURNITURE)) | (recurs & (F.size(F.split(line, " ")) <= SHORT_WORDS)), "furniture").otherwise("text")
+    judged = lines.select("doc_id", "t", kind.alias("kind")).groupBy("doc_id", "t").agg(F.max(F.col("kind") == "message").alias("some"), F.max(F.col("kind") == "text").alias("other"))
     pages = judged.where(F.col("some") & ~F.col("other")).select("doc_id", F.lit("page").alias("kind"))
-    return slots.unionByName(pages).groupBy("doc_id").agg(F.max("kind").alias("kind"))
+    return slots.unionByName(filler).unionByName(pages).groupBy("doc_id").agg(F.max("kind").alias("kind"))
 
 
 def residue_documents(documents: DataFrame) -> DataFrame:

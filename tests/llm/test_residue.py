@@ -27,3 +27,15 @@ def test_recurring_lines_are_furniture(spark):
     rows = [(f"d{i}", "Startleiste\n\nA plain text about it.", f"s{i % 5}") for i in range(30)] + [("p", page, "s1"), ("q", "Selten\n\nBad gateway", "s1")]
     df = spark.createDataFrame(rows, "doc_id string, text string, source string")
     assert [r.doc_id for r in residue(df, key="doc_id", text="text", source="source").collect()] == ["p"]
+
+
+def test_recurring_filler_and_messages(spark):
+    """Sentences that no rule names for sure count as filler or message once they recur across sources, in any language."""
+    fill, told = "Hier wird noch ein Mustertext verwendet.", "Der Bereich ist für Gäste zurzeit nicht verfügbar."
+    rows = [(f"f{i}", f"Abschnitt {chr(97 + i)} ist da. {fill}\n\nMehr {'x' * i} dazu.", f"s{i % 4}") for i in range(24)]
+    rows += [(f"m{i}", told, f"s{i % 4}") for i in range(24)]
+    rows += [("es", "Texto de relleno, pendiente de sustituir.", "s1"), ("fr", "Voici. Votre texte viendra ici.", "s1"), ("de", "Hier steht später Ihr Text.", "s2")]
+    rows += [("once", "Ein Mustertext gehört nicht in ein fertiges Dokument.", "s1"), ("code", f"`{fill}` ist gemeint, Mustertext also.", "s2")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    got = {r.doc_id: r.kind for r in residue(df, key="doc_id", text="text", source="source").collect()}
+    assert got == {f"f{i}": "residue" for i in range(24)} | {f"m{i}": "page" for i in range(24)} | {"es": "residue", "fr": "residue", "de": "residue"}
