@@ -146,10 +146,6 @@ FURNITURE = [
 ]
 
 
-#: A line that may be furniture by recurring has at most so many words.
-SHORT_WORDS = 4
-
-
 def without_code(text: Column) -> Column:
     """The text without fenced blocks (an open one ends with the text) and inline code."""
     fenced = F.regexp_replace(text, r"(?ms)^[ \t]*(```+|~~~+)[^\n]*(?:\n.*?)??(?:^[ \t]*\1[`~]*[ \t]*$|\z)", "\n")
@@ -234,7 +230,7 @@ def recurring(counts: DataFrame, total: int, *, min_share: float, min_rows: int,
     return counts.where((F.col("n") >= max(min_rows, min_share * total)) & (F.col("n_sources") >= min_sources)).select("h", F.lit(True).alias("recurs"))
 
 
-def residue(docs: DataFrame, *, key: str, text: str, source: str, min_share: float = 0.0, min_rows: int = 20, min_sources: int = 3) -> DataFrame:
+def residue(docs: DataFrame, *, key: str, text: str, source: str, min_share: float = 0.0002, min_rows: int = 5, min_sources: int = 3) -> DataFrame:
     """``doc_id, kind`` of the documents to leave out: kind is residue (slots or filler, which comes first) or page.
 
     Null, empty and blank texts are no cases. A key that occurs twice is judged by each of its rows; rows are distinct.
@@ -247,7 +243,7 @@ def residue(docs: DataFrame, *, key: str, text: str, source: str, min_share: flo
     filler = plain.where(_like_filler(F.col("unit"))).select("doc_id", F.xxhash64("unit").alias("h")).join(often, "h", "left_semi").select("doc_id", F.lit("residue").alias("kind"))
     line, recurs = F.col("line"), F.coalesce("recurs", F.lit(False))
     lines = asked.select("doc_id", "t", F.explode(_normal_lines(F.col("text"))).alias("line")).withColumn("h", F.xxhash64("line")).join(often, "h", "left")
-    kind = F.when(_is_message(line) | (recurs & _holds(line, MESSAGE_WORDS)), "message").when(line.rlike(_whole(FURNITURE)) | (recurs & (F.size(F.split(line, " ")) <= SHORT_WORDS)), "furniture").otherwise("text")
+    kind = F.when(_is_message(line) | (recurs & _holds(line, MESSAGE_WORDS)), "message").when(line.rlike(_whole(FURNITURE)) | recurs, "furniture").otherwise("text")
     judged = lines.select("doc_id", "t", kind.alias("kind")).groupBy("doc_id", "t").agg(F.max(F.col("kind") == "message").alias("some"), F.max(F.col("kind") == "text").alias("other"))
     pages = judged.where(F.col("some") & ~F.col("other")).select("doc_id", F.lit("page").alias("kind"))
     return slots.unionByName(filler).unionByName(pages).groupBy("doc_id").agg(F.max("kind").alias("kind"))

@@ -39,3 +39,16 @@ def test_recurring_filler_and_messages(spark):
     df = spark.createDataFrame(rows, "doc_id string, text string, source string")
     got = {r.doc_id: r.kind for r in residue(df, key="doc_id", text="text", source="source").collect()}
     assert got == {f"f{i}": "residue" for i in range(24)} | {f"m{i}": "page" for i in range(24)} | {"es": "residue", "fr": "residue", "de": "residue"}
+
+
+def test_long_recurring_lines_are_furniture(spark):
+    """A line of any length is furniture if it recurs, wherever in the page it stands; what recurs is relative to the input."""
+    foot = "All times on these pages are given in the zone of the head office."
+    page = f"Bad gateway\n\n{foot}"
+    rows = [(f"d{i}", f"A plain text, number {chr(97 + i)}{'x' * i}.\n\n{foot}", f"s{i % 4}") for i in range(8)]
+    rows += [("p", page, "s1"), ("mid", f"{foot}\n\n404 - Page not found\n\n{foot}", "s2"), ("q", "Bad gateway\n\nWhat the gateway of the mill looks like is told in another text.", "s1")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    run = lambda d: sorted(r.doc_id for r in residue(d, key="doc_id", text="text", source="source").collect())
+    assert run(df) == ["mid", "p"]
+    many = df.unionByName(spark.range(60_000).selectExpr("concat('z', id) AS doc_id", "concat('Note ', translate(cast(id AS string), '0123456789', 'abcdefghij')) AS text", "'s1' AS source"))
+    assert run(many) == []
