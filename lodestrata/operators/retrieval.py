@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +55,37 @@ def nearest_chunks(vectors: DataFrame, queries: DataFrame, n: int, *, dim: int)
     return top(v.join(q, F.lit(True)).select("query_id", "chunk_id", d.alias("distance")), n, order=F.col("distance").asc())
 
 
+def _block_top(items: pd.DataFrame, queries: pd.DataFrame, n: int) -> pd.DataFrame:
+    """The n nearest of a block's items for each of its queries, and all that tie with the last of them after rounding."""
+    parts = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})]
+    if len(items) and len(queries):
+        x, y = np.stack(items["embedding"].to_numpy()).astype(np.float64), np.stack(queries["vec"].to_numpy()).astype(np.float64)
+        ids, qs = items["chunk_id"].to_numpy(), queries["query_id"].to_numpy()
+        size = (x * x).sum(1)
+        for at in range(0, len(y), 128):
+            z = y[at : at + 128]
+            near = np.sqrt(np.maximum(size - 2 * z @ x.T + (z * z).sum(1)[:, None], 0))
+            bar = np.partition(near, min(n, len(x)) - 1, axis=1)[:, min(n, len(x)) - 1]
+            # vectors that all but coincide are where the fast form is least exact
+            a, b = np.nonzero(near <= (bar + 1e-4 * (1 + bar))[:, None])
+            parts.append(pd.DataFrame({"query_id": qs[at : at + 128][a], "chunk_id": ids[b], "distance": np.sqrt(((x[b] - z[a]) ** 2).sum(1))}))
+    return pd.concat(parts[1:] or parts)
+
+
+def nearest_in_blocks(vectors: DataFrame, queries: DataFrame, n: int, *, dim: int, block: int = 10_000) -> DataFrame:
+    """``nearest_chunks`` for queries that are many: blocks of queries against blocks of vectors, exact as well. Vectors
+    that are null or hold nulls take no part."""
+    ok = lambda c: (F.size(c) == dim) & F.forall(c, lambda x: x.isNotNull())
+    v = vectors.where(ok("embedding")).select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
+    q = queries.where(ok("vec")).select(F.col("query_id").cast("long").alias("query_id"), "vec")
+    bi, bq = max(1, -(-v.count() // block)), max(1, -(-q.count() // block))
+    bi = max(bi, -(-v.sparkSession.sparkContext.defaultParallelism // bq))
+    items = v.withColumn("i", F.pmod(F.xxhash64("chunk_id"), F.lit(bi)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
+    asked = q.withColumn("j", F.pmod(F.xxhash64("query_id"), F.lit(bq)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(bi - 1))))
+    found = items.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInPandas(lambda a, b: _block_top(a, b, n), "query_id long, chunk_id long, distance double")
+    return top(found.select("query_id", "chunk_id", F.round("distance", 6).alias("distance")), n, order=F.col("distance").asc())
+
+
 def best_per_parent(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """``query_id, parent_id, chunk_id, place``: each anchor with its best chunk, places counted anew from 1."""
     parents = chunks.select("chunk_id", "parent_id").distinct()
