@@ -43,6 +43,12 @@ def closure_hashes(closed: DataFrame, hashes: DataFrame) -> DataFrame:
     return d.groupBy("root").agg(F.count("*").alias("n_nodes"), F.concat(F.lit("sha256:"), of).alias("closure_hash"))
 
 
+def closure_states(closed: DataFrame, *, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """``root, status``: partial if a root's closure reaches ``max_depth``, as nodes there aren't followed; else complete.
+    Roots without nodes have no row."""
+    return closed.groupBy("root").agg(F.when(F.max("depth") >= max_depth, "partial").otherwise("complete").alias("status"))
+
+
 def callers(edges: DataFrame, roots: DataFrame, *, depth: int = 1) -> DataFrame:
     """``root, node, depth``: who reaches each root over at most ``depth`` edges."""
     return closure(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots, max_depth=depth)

@@ -347,15 +347,22 @@ _REACH = """WITH RECURSIVE e AS MATERIALIZED {0}, r AS (SELECT src AS root, dst
 
 @query(_REACH.format(_EDGES, 6))
 def call_closure(spark: SparkSession, root: str) -> DataFrame:
+    """Over at most ``G.MAX_DEPTH`` edges; the SQL stops after 6."""
     e = _edges(spark, root)
-    return G.closure(e, e.select(F.col("src").alias("id")), max_depth=6)
+    return G.closure(e, e.select(F.col("src").alias("id")))
 
 
 @query(f"WITH x AS ({_REACH.format(_EDGES, 6)}) SELECT root, count(*) AS n_nodes, 'sha256:' || sha256(unhex(string_agg(d, '' ORDER BY d))) AS closure_hash FROM (SELECT root, lower(right(content_hash, 64)) AS d FROM x JOIN anchors a ON a.id = x.node) GROUP BY root")
 def closure_hashes(spark: SparkSession, root: str) -> DataFrame:
+    """Over the whole closure; the SQL's is cut after 6 edges."""
     return G.closure_hashes(call_closure(spark, root), table(spark, root, "anchors"))
 
 
+@query(f"SELECT root, CASE WHEN max(depth) >= {G.MAX_DEPTH} THEN 'partial' ELSE 'complete' END AS status FROM ({_REACH.format(_EDGES, G.MAX_DEPTH)}) GROUP BY root")
+def closure_states(spark: SparkSession, root: str) -> DataFrame:
+    return G.closure_states(call_closure(spark, root))
+
+
 @query(f"SELECT DISTINCT dst AS root, src AS node, 1 AS depth FROM {_EDGES}")
 def callers(spark: SparkSession, root: str) -> DataFrame:
     e = _edges(spark, root)

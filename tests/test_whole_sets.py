@@ -1,4 +1,5 @@
 import numpy as np
+from lodestrata.operators import graph as G
 from lodestrata.plans import index_queries as I
 
 
@@ -15,3 +16,13 @@ def test_nearest_chunks_answers_every_stated_query(spark, tmp_path):
         d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1)).round(6)
         want = sorted(range(300), key=lambda i: (d[i], i))[:10]
         assert [c for _, c, _ in sorted(rows)] == want
+
+
+def test_closures_are_followed_to_the_reference_depth(spark, monkeypatch):
+    edges = [(f"n{i:02}", f"n{i + 1:02}") for i in range(9)] + [(f"m{i:02}", f"m{i + 1:02}") for i in range(40)]
+    monkeypatch.setattr(I, "_edges", lambda s, root: s.createDataFrame(edges, "src string, dst string"))
+    got = I.call_closure(spark, "").toPandas()
+    assert set(got[got.root == "n00"].node) == {f"n{i:02}" for i in range(1, 10)}
+    assert got[got.root == "m00"].depth.max() == G.MAX_DEPTH
+    states = {r.root: r.status for r in I.closure_states(spark, "").collect()}
+    assert states["n00"] == "complete" and states["m00"] == states["m08"] == "partial" and states["m09"] == "complete"
