@@ -2,9 +2,10 @@
 
 A vector is coded as a sum of full-dimensional codewords, one of each codebook; codes are found by beam search, and the
 squared norm of the sum is stored with them. The first codebook grows with the number of vectors and also names the
-inverted list a vector lies in; a query looks into the lists of its ``probes`` best first codewords. There the scalar
-product with every coded vector is read from tables (query times codewords, one lookup a codebook), divided by the
-stored norm, and the best ``rerank`` are scored again with the exact vectors.
+inverted list a vector lies in; a query looks into every list that may hold a vector of the least similarity asked for,
+by the angles of the list's vectors to its codeword (or, if ``probes`` is given, into that many lists only). There the
+scalar product with every coded vector is read from tables (query times codewords, one lookup a codebook), divided by
+the stored norm, and all that may be among the best by their quantisation error are scored again with the exact vectors.
 
 Codebooks are fitted on about ``FIT_ROWS`` vectors taken by hash (never more than twice that); every vector is indexed. Lists are put into groups of neighbouring
 lists, so that a query is sent once to a group and not once to each list; a group that is hot on either side
@@ -27,7 +28,7 @@ from lodestrata.session import materialize, spread
 
 FIT_ROWS = 20_000
 #: Vectors of an inverted list on average, most lists, lists of a group.
-LIST_ROWS, MOST_LISTS, GROUP_LISTS = 500, 4096, 6
+LIST_ROWS, MOST_LISTS, GROUP_LISTS = 500, 4096, 20
 #: Codebooks after the first, codewords of each, width of the beam.
 LEVELS, WORDS, BEAM = 8, 256, 4
 #: Rows of either side that one task holds at a time.
@@ -135,7 +136,39 @@ def _encode(batches: Iterator[pa.RecordBatch], shared, dim: int, probes: int) ->
             )
 
 
-def _search(items: pd.DataFrame, queries: pd.DataFrame, q: Quantiser, dim: int, k: int, rerank: int, least: float) -> pd.DataFrame:
+def _angle(x: np.ndarray, to: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ to.T, -1, 1))
+
+
+def _directions(words: np.ndarray) -> np.ndarray:
+    return words / np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1e-12)
+
+
+def _angles(batches: Iterator[pa.RecordBatch], shared, dim: int) -> Iterator[pa.RecordBatch]:
+    """Least and greatest angle between the vectors of a list and its first codeword, by batch."""
+    u = _directions(shared.value.books[0])
+    for b in batches:
+        x = np.frombuffer(b"".join(b.column(b.schema.get_field_index("x")).to_pylist()), dtype=np.float32).reshape(-1, dim)
+        at = b.column(b.schema.get_field_index("list")).to_numpy()
+        t = pd.Series(np.arccos(np.clip((x * u[at]).sum(1), -1, 1)).astype(np.float64)).groupby(at).agg(["min", "max"])
+        yield pa.RecordBatch.from_arrays([pa.array(t.index.to_numpy().astype(np.int32)), pa.array(t["min"].to_numpy()), pa.array(t["max"].to_numpy())], names=["list", "lo", "hi"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch], shared, bounds, dim: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Each query with all lists that may hold a vector of similarity ``least`` or more: angles obey the triangle inequality."""
+    lists, lo, hi = bounds.value
+    u, reach = _directions(shared.value.books[0])[lists], np.arccos(max(least, -1.0)) + 2e-3
+    for big in batches:
+        for at in range(0, big.num_rows, 2000):
+            b = big.slice(at, 2000)
+            x = np.frombuffer(b"".join(b.column(b.schema.get_field_index("x")).to_pylist()), dtype=np.float32).reshape(-1, dim)
+            t = _angle(x, u)
+            row, col = np.nonzero((t - hi <= reach) & (lo - t <= reach))
+            off = np.append(0, np.cumsum(np.bincount(row, minlength=len(x)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("h")), b.column(b.schema.get_field_index("x")), pa.ListArray.from_arrays(pa.array(off), pa.array(lists[col].astype(np.int32)))], names=["h", "x", "look"])
+
+
+def _search(items: pd.DataFrame, queries: pd.DataFrame, q: Quantiser, dim: int, k: int, least: float) -> pd.DataFrame:
     """The best k of one block of a group's items for each of its queries."""
     none = pd.DataFrame({"h": pd.Series(dtype="int64"), "key": pd.Series(dtype=object), "sim": pd.Series(dtype="float64")})
     if not len(items) or not len(queries):
@@ -143,6 +176,8 @@ def _search(items: pd.DataFrame, queries: pd.DataFrame, q: Quantiser, dim: int,
     xs = np.frombuffer(b"".join(items["x"]), dtype=np.float32).reshape(-1, dim)
     codes = np.frombuffer(b"".join(items["codes"]), dtype=np.uint8).reshape(len(items), -1)
     scale = 1 / np.sqrt(np.maximum(items["norm"].to_numpy(), 1e-12))
+    coded = q.books[0][items["list"].to_numpy()] + sum(q.books[m + 1][codes[:, m]] for m in range(codes.shape[1]))
+    err = np.linalg.norm(xs - coded * scale[:, None], axis=1).astype(np.float32)
     keys = items["key"].to_numpy()
     by_list = {int(c): ix for c, ix in items.groupby("list").indices.items()}
     qs = np.frombuffer(b"".join(queries["x"]), dtype=np.float32).reshape(-1, dim)
@@ -152,25 +187,29 @@ def _search(items: pd.DataFrame, queries: pd.DataFrame, q: Quantiser, dim: int,
     out_h, out_i, out_s = [], [], []
     for c, ix in by_list.items():
         who = asked[lists == c]
-        for at in range(0, len(who), 1024):
-            w = who[at : at + 1024]
+        step = max(1, min(1024, 2_000_000 // len(ix)))
+        for at in range(0, len(who), step):
+            w = who[at : at + step]
             y = qs[w]
             score = np.repeat((y @ q.books[0][c])[:, None], len(ix), axis=1)
             for m in range(codes.shape[1]):
                 score += np.take(y @ q.books[m + 1].T, codes[ix, m], axis=1)
             score *= scale[ix]
-            r = min(rerank, len(ix))
-            top = np.argpartition(-score, r - 1, axis=1)[:, :r]
-            exact = np.einsum("qrd,qd->qr", xs[ix[top]], y, optimize=True)
-            if r > k:
+            # no exact similarity is further from the estimate than the coded vector from the true one
+            low = score - err[ix]
+            bar = np.partition(low, len(ix) - k, axis=1)[:, len(ix) - k] if len(ix) > k else np.full(len(w), -2.0, dtype=np.float32)
+            a, b = np.nonzero(score + err[ix] >= np.maximum(bar, least)[:, None] - 1e-5)
+            exact = np.full_like(score, -2)
+            for n in range(0, len(a), 200_000):
+                e, f = a[n : n + 200_000], b[n : n + 200_000]
+                exact[e, f] = np.einsum("nd,nd->n", xs[ix[f]], y[e])
+            ok = (exact >= least) & (exact > -2)
+            if len(ix) > k:
                 # the k best and all that tie with the last of them
-                bar = np.partition(exact, r - k, axis=1)[:, r - k][:, None]
-                ok = (exact >= bar) & (exact >= least)
-            else:
-                ok = exact >= least
+                ok &= exact >= np.partition(exact, len(ix) - k, axis=1)[:, len(ix) - k][:, None]
             a, b = np.nonzero(ok)
             out_h.append(h[w[a]])
-            out_i.append(ix[top[a, b]])
+            out_i.append(ix[b])
             out_s.append(exact[a, b].astype(np.float64))
     if not out_h:
         return none
@@ -178,7 +217,7 @@ def _search(items: pd.DataFrame, queries: pd.DataFrame, q: Quantiser, dim: int,
     return pd.DataFrame({"h": np.concatenate(out_h), "key": keys[i], "sim": np.concatenate(out_s)})
 
 
-def nearest(df: DataFrame, *, key: str, vec: str, dim: int, k: int = 5, queries: Column | None = None, least: float = -1.0, probes: int = 8, rerank: int = 96, list_rows: int = LIST_ROWS) -> DataFrame:
+def nearest(df: DataFrame, *, key: str, vec: str, dim: int, k: int = 5, queries: Column | None = None, least: float = -1.0, probes: int | None = None, list_rows: int = LIST_ROWS) -> DataFrame:
     """``key, neighbour, similarity, rank``: up to k most similar other vectors (cosine, then neighbour's key) of every
     usable vector, or of those for which ``queries`` holds, with a similarity of ``least`` or more.
 
@@ -205,20 +244,24 @@ def nearest(df: DataFrame, *, key: str, vec: str, dim: int, k: int = 5, queries:
     of_class = rows.withColumn("rn", F.dense_rank().over(Window.partitionBy("h").orderBy("key"))).where(F.col("rn") <= k + 1)
     again = F.row_number().over(Window.partitionBy("h", "key").orderBy("rn"))
     ranked = of_class.withColumn("again", again).where("again = 1").drop("again")
-    coded = materialize(ranked.mapInArrow(lambda it: _encode(it, shared, dim, probes), f"key {kt}, h long, rn int, asks boolean, x binary, list int, codes binary, norm float, look array<int>"))
+    coded = materialize(ranked.mapInArrow(lambda it: _encode(it, shared, dim, probes or 1), f"key {kt}, h long, rn int, asks boolean, x binary, list int, codes binary, norm float, look array<int>"))
     # at most MOST_LISTS rows
     groups = F.broadcast(spark.createDataFrame(pd.DataFrame({"list": np.arange(len(q.group), dtype=np.int32), "g": q.group}), "list int, g int"))
     items = coded.join(groups, "list").select("g", "list", "key", "x", "codes", "norm")
     classes = members.where("asks").select("h").distinct()
     wanted = coded.where("rn = 1").select("h", "x", "look")
     wanted = wanted if queries is None else wanted.join(classes, "h", "left_semi")
+    if probes is None:
+        ranges = coded.mapInArrow(lambda it: _angles(it, shared, dim), "list int, lo double, hi double").groupBy("list").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).toPandas()
+        bounds = spark.sparkContext.broadcast((ranges["list"].to_numpy(), ranges["lo"].to_numpy(), ranges["hi"].to_numpy()))
+        wanted = materialize(wanted.mapInArrow(lambda it: _possible(it, shared, bounds, dim, least), "h long, x binary, look array<int>"))
     sent = wanted.mapInArrow(lambda it: _send(it, shared), "g int, h long, x binary, look array<int>")
     size_i = items.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ITEMS), F.lit(1)).cast("int").alias("bi"))
     size_q = wanted.select("h", F.explode("look").alias("list")).join(groups, "list").groupBy("g").agg(F.greatest(F.ceil(F.count_distinct("h") / BLOCK_QUERIES), F.lit(1)).cast("int").alias("bq"))
     sizes = F.broadcast(size_i.join(size_q, "g"))
     items = items.join(sizes, "g").withColumn("i", F.pmod(F.xxhash64("key"), F.col("bi")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("bq") - 1))).drop("bi", "bq")
     sent = sent.join(sizes, "g").withColumn("j", F.pmod("h", F.col("bq")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("bi") - 1))).drop("bi", "bq")
-    found = items.groupBy("g", "i", "j").cogroup(sent.groupBy("g", "i", "j")).applyInPandas(lambda a, b: _search(a, b, shared.value, dim, k + 1, rerank, least), f"h long, key {kt}, sim double")
+    found = items.groupBy("g", "i", "j").cogroup(sent.groupBy("g", "i", "j")).applyInPandas(lambda a, b: _search(a, b, shared.value, dim, k + 1, least), f"h long, key {kt}, sim double")
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("sim"), "key"))).where(F.col("r") <= k + 1).select("h", F.col("key").alias("neighbour"), F.col("sim").alias("similarity"))
     own = members.where("asks").select("h", "key").distinct()
     pairs = best.join(own, "h").where(F.col("neighbour") != F.col("key"))
@@ -250,7 +293,7 @@ def _send(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
 DIM, BOUND = 64, 0.9
 
 
-def similar_pairs(df: DataFrame, *, key: str, vec: str, bound: float = BOUND, dim: int = DIM, k: int = 5, probes: int = 4, rerank: int = 48) -> DataFrame:
+def similar_pairs(df: DataFrame, *, key: str, vec: str, bound: float = BOUND, dim: int = DIM, k: int = 5, probes: int | None = None) -> DataFrame:
     """``key_a, key_b`` (smaller first): pairs at or above the bound of which one is among the k nearest of the other."""
-    near = nearest(df.select(F.col(key).cast("string").alias("key"), F.col(vec).alias("vec")), key="key", vec="vec", dim=dim, k=k, least=bound, probes=probes, rerank=rerank)
+    near = nearest(df.select(F.col(key).cast("string").alias("key"), F.col(vec).alias("vec")), key="key", vec="vec", dim=dim, k=k, least=bound, probes=probes)
     return near.select(F.least("key", "neighbour").alias("key_a"), F.greatest("key", "neighbour").alias("key_b")).distinct()

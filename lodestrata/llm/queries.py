@@ -22,7 +22,7 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p3_nearest(spark: SparkSession, root: str) -> DataFrame:
     """The five most similar of every chunk vector whose id is divisible by 20, against all."""
-    return neighbours.nearest(table(spark, root, "chunks_vec"), key="chunk_id", vec="embedding", dim=neighbours.DIM, queries=F.col("chunk_id") % 20 == 0, probes=16)
+    return neighbours.nearest(table(spark, root, "chunks_vec"), key="chunk_id", vec="embedding", dim=neighbours.DIM, queries=F.col("chunk_id") % 20 == 0)
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
