@@ -1,20 +1,28 @@
 """The k most similar vectors of every vector by additive quantisation.
 
-A vector is coded as a sum of full-dimensional codewords, one of each codebook; codes are found by beam search, and the
-squared norm of the sum is stored with them. The first codebook grows with the number of vectors and also names the
-inverted list a vector lies in; a query looks into every list that may hold a vector of the least similarity asked for,
-by the angles of the list's vectors to its codeword (or, if ``probes`` is given, into that many lists only). There the
-scalar product with every coded vector is read from tables (query times codewords, one lookup a codebook), divided by
-the stored norm, and all that may be among the best by their quantisation error are scored again with the exact vectors.
-
-Codebooks are fitted on about ``FIT_ROWS`` vectors taken by hash (never more than twice that); every vector is indexed. Lists are put into groups of neighbouring
-lists, so that a query is sent once to a group and not once to each list; a group that is hot on either side
-is split into blocks. Copies of one vector are one query, and of its keys only the k+1 least are indexed: as ties
-are broken by key, no other can be among the k nearest of anything.
+A vector is coded as a sum of full-dimensional codewords, one of each codebook: the nearest word of the first book, which
+also names the inverted list the vector lies in, and words of residual books found by beam search; the squared norm of
+the sum is stored with them. A query looks into the lists that may hold its neighbours. There its scalar product
+with every coded vector is read from tables (query times codewords, made once for all lists of a task, one lookup a
+codebook), divided by the stored norm, and all that may be among the best by their quantisation error are scored again
+with the exact vectors.
+
+Which lists: a neighbour of similarity s is s times the query plus a remainder of known length across it. For a remainder
+of random direction the chance that it lies nearer to another list's codeword than to that of the query's own list is a
+normal tail; lists are taken by falling chance until those left out hold less than ``loss`` neighbours together. Dense
+groups, whose lists lie close together, so get as many lists as they need. s is the least similarity asked for or, if
+none is, the similarity of the k-th best in the query's own list, found by a first round.
+
+The number of lists grows with the root of the number of vectors, from ``total / LIST_ROWS`` where that is less. Codebooks
+are fitted on a sample taken by hash, of ``FIT_LIST`` vectors a list, between ``FIT_LEAST`` and ``FIT_MOST`` (128 MB); every
+vector is indexed. Lists are put into groups of neighbouring lists, so that a query is sent once to a group and not once
+to each list; a group that is hot on either side is split into blocks. Copies of one vector are one query, and of its
+keys only the k+1 least are indexed: as ties are broken by key, no other can be among the k nearest of anything.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,13 +34,16 @@ from pyspark.sql import functions as F
 
 from lodestrata.session import materialize, spread
 
-FIT_ROWS = 20_000
-#: Vectors of an inverted list on average, most lists, lists of a group.
-LIST_ROWS, MOST_LISTS, GROUP_LISTS = 500, 4096, 20
+#: Vectors the codebooks are fitted on: at least, a list, at most.
+FIT_LEAST, FIT_LIST, FIT_MOST = 20_000, 32, 500_000
+#: Vectors of an inverted list at least, lists as a multiple of the root of all vectors, vectors of a group of lists.
+LIST_ROWS, LIST_ROOT, GROUP_ROWS = 500, 0.5, 32_000
 #: Codebooks after the first, codewords of each, width of the beam.
 LEVELS, WORDS, BEAM = 8, 256, 4
 #: Rows of either side that one task holds at a time.
-BLOCK_ITEMS, BLOCK_QUERIES = 12_000, 12_000
+BLOCK_ITEMS, BLOCK_QUERIES = 50_000, 20_000
+#: Neighbours a query may expect to lose by the lists it leaves out; standard deviations of the quantisation error.
+LOSS, SIGMAS = 0.005, 4.0
 
 
 def usable(vec: Column, dim: int) -> Column:
@@ -52,18 +63,34 @@ def _nearest(x: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
     """Indices of the n nearest codewords of each row, nearest first."""
     d = (words * words).sum(1) - 2 * x @ words.T
     n = min(n, len(words))
+    if n == 1:
+        return d.argmin(axis=1)[:, None]
     top = np.argpartition(d, n - 1, axis=1)[:, :n]
     return np.take_along_axis(top, np.argsort(np.take_along_axis(d, top, 1), axis=1, kind="stable"), 1)
 
 
+def _sums(x: np.ndarray, a: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and number of the rows of each of k classes."""
+    n = np.bincount(a, minlength=k)
+    order = np.argsort(a, kind="stable")
+    out = np.zeros((k, x.shape[1]), dtype=np.float32)
+    have = np.flatnonzero(n)
+    if len(have):
+        out[have] = np.add.reduceat(x[order], (np.cumsum(n) - n)[have], axis=0)
+    return out, n
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """Codewords by k-means; many are found in two steps, so the cost grows with the root of their number."""
     k = max(1, min(k, len(x)))
+    if k > 400:
+        top = _kmeans(x, math.isqrt(k), rounds, rng)
+        a = _nearest(x, top, 1)[:, 0]
+        parts = [x[a == c] for c in range(len(top))]
+        return np.concatenate([_kmeans(p, min(len(p), max(1, round(k * len(p) / len(x)))), rounds, rng) for p in parts if len(p)])
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        a = _nearest(x, c, 1)[:, 0]
-        s = np.zeros_like(c)
-        np.add.at(s, a, x)
-        n = np.bincount(a, minlength=k)
+        s, n = _sums(x, _nearest(x, c, 1)[:, 0], k)
         c = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], x[rng.choice(len(x), k)])
     return c.astype(np.float32)
 
@@ -74,152 +101,200 @@ class Quantiser:
     group: np.ndarray
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Codes (rows, books) and the squared norms of the sums, by beam search over the codebooks in turn."""
+        """Codes (rows, books) and the squared norms of the sums: the nearest word of the first book, then beam search over
+        the others in turn."""
         n = len(x)
-        first = _nearest(x, self.books[0], beam)
+        rows = np.arange(n)[:, None]
+        first = _nearest(x, self.books[0], 1)
         codes = first[:, :, None]
         rest = x[:, None, :] - self.books[0][first]
         for words in self.books[1:]:
             b = rest.shape[1]
-            near = _nearest(rest.reshape(n * b, -1), words, beam).reshape(n, b, -1)
-            left = rest[:, :, None, :] - words[near]
-            err = (left * left).sum(-1).reshape(n, -1)
-            keep = np.argsort(err, axis=1, kind="stable")[:, :beam]
-            parent, child = keep // near.shape[2], keep % near.shape[2]
-            rows = np.arange(n)[:, None]
-            codes = np.concatenate([codes[rows, parent], near[rows, parent, child][:, :, None]], axis=2)
-            rest = left[rows, parent, child]
+            # what remains after each word, without making it: |r|^2 - 2 r w + |w|^2
+            err = (rest * rest).sum(-1)[:, :, None] + ((words * words).sum(1) - 2 * (rest.reshape(n * b, -1) @ words.T)).reshape(n, b, -1)
+            err = err.reshape(n, -1)
+            most = min(beam, err.shape[1])
+            keep = np.argpartition(err, most - 1, axis=1)[:, :most]
+            keep = np.take_along_axis(keep, np.argsort(np.take_along_axis(err, keep, 1), axis=1, kind="stable"), 1)
+            parent, child = keep // len(words), keep % len(words)
+            codes = np.concatenate([codes[rows, parent], child[:, :, None]], axis=2)
+            rest = rest[rows, parent] - words[child]
         best = codes[:, 0]
         total = x - rest[:, 0]
         return best, (total * total).sum(1)
 
-
-def fit(x: np.ndarray, lists: int, *, levels: int = LEVELS, words: int = WORDS, seed: int = 1) -> Quantiser:
-    """Codebooks by k-means on residuals, then refitted together: the codewords that minimise the squared error for the
-    beam-search codes solve a least-squares problem."""
+    def lists(self, x: np.ndarray, s: np.ndarray, loss: float, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Row and list of every list that may hold a vector of similarity ``s`` (one a row) to a row, but for ``loss``; of
+        ``least`` lists a row in any case."""
+        c = self.books[0]
+        cc = (c * c).sum(1)
+        dots = x @ c.T
+        own = (cc - 2 * dots).argmin(axis=1)
+        rows = np.arange(len(x))
+        nearer = dots - dots[rows, own][:, None]
+        apart = cc[None, :] + cc[own][:, None] - 2 * c[own] @ c.T
+        s = np.clip(s.astype(np.float32), -1, 1)[:, None]
+        mean = s * nearer - (cc[None, :] - cc[own][:, None]) / 2
+        spread_ = np.sqrt((1 - s * s) * np.maximum(apart - nearer * nearer, 0) / max(x.shape[1] - 1, 1)) + 1e-6
+        z = np.clip(mean / spread_, -8, 8)
+        p = 1 / (1 + np.exp(-z * (1.5976 + 0.07056599 * z * z)))
+        p[rows, own] = 1
+        order = np.argsort(-p, axis=1, kind="stable")
+        left = np.cumsum(np.take_along_axis(p, order, 1)[:, ::-1], axis=1)[:, ::-1]
+        row, at = np.nonzero((left > loss) | (np.arange(p.shape[1]) < least))
+        return row, order[row, at]
+
+
+def fit(x: np.ndarray, lists: int, group_lists: int = 64, *, levels: int = LEVELS, words: int = WORDS, seed: int = 1) -> Quantiser:
+    """Codebooks by k-means on residuals, then each refitted given the others: the codewords that minimise the squared
+    error for the codes of the beam search are means of what the others leave."""
     rng = np.random.default_rng(seed)
-    books = [_kmeans(x, lists, 10, rng)]
-    rest = x - books[0][_nearest(x, books[0], 1)[:, 0]]
+    books = [_kmeans(x, lists, 8, rng)]
+    some = x if len(x) <= FIT_LEAST else x[rng.choice(len(x), FIT_LEAST, replace=False)]
+    rest = some - books[0][_nearest(some, books[0], 1)[:, 0]]
     for _ in range(levels):
-        books.append(_kmeans(rest, words, 5, rng))
+        books.append(_kmeans(rest, words, 4, rng))
         rest = rest - books[-1][_nearest(rest, books[-1], 1)[:, 0]]
     q = Quantiser(books, np.zeros(len(books[0]), dtype=np.int32))
-    if len(x):
-        codes = np.concatenate([q.encode(x[i : i + 2000])[0] for i in range(0, len(x), 2000)])
-        for _ in range(2):  # each book in turn, given the others
-            for m in range(1, len(books)):
-                others = sum(books[j][codes[:, j]] for j in range(len(books)) if j != m)
-                s = np.zeros_like(books[m])
-                np.add.at(s, codes[:, m], x - others)
-                n = np.bincount(codes[:, m], minlength=len(books[m]))
-                books[m] = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], books[m]).astype(np.float32)
-    groups = _kmeans(books[0], -(-len(books[0]) // GROUP_LISTS), 8, rng)
+    codes = np.concatenate([q.encode(some[i : i + 2000])[0] for i in range(0, len(some), 2000)])
+    total = sum(books[j][codes[:, j]] for j in range(len(books)))
+    for m in range(1, len(books)):
+        others = total - books[m][codes[:, m]]
+        s, n = _sums(some - others, codes[:, m], len(books[m]))
+        books[m] = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], books[m]).astype(np.float32)
+        total = others + books[m][codes[:, m]]
+    groups = _kmeans(books[0], -(-len(books[0]) // group_lists), 8, rng)
     q.group = _nearest(books[0], groups, 1)[:, 0].astype(np.int32)
     return q
 
 
-def _encode(batches: Iterator[pa.RecordBatch], shared, dim: int, probes: int) -> Iterator[pa.RecordBatch]:
+def _col(b: pa.RecordBatch, name: str) -> pa.Array:
+    return b.column(b.schema.get_field_index(name))
+
+
+def _floats(col: pa.Array, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), dtype=np.float32).reshape(-1, dim)
+
+
+def _encode(batches: Iterator[pa.RecordBatch], shared, dim: int) -> Iterator[pa.RecordBatch]:
     q = shared.value
     for big in batches:
         for at in range(0, big.num_rows, 2000):
             b = big.slice(at, 2000)
-            x = _unit(b.column(b.schema.get_field_index("vec")), dim)
+            x = _unit(_col(b, "vec"), dim)
             codes, norms = q.encode(x)
-            near = _nearest(x, q.books[0], probes)
-            width = near.shape[1]
-            look = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * width + 1, width, dtype=np.int32)), pa.array(near.astype(np.int32).ravel()))
             raw = np.ascontiguousarray(codes[:, 1:].astype(np.uint8))
             yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index("key")), b.column(b.schema.get_field_index("h")), b.column(b.schema.get_field_index("rn")), b.column(b.schema.get_field_index("asks"))]
-                + [pa.array([r.tobytes() for r in x], type=pa.binary()), pa.array(codes[:, 0].astype(np.int32)), pa.array([r.tobytes() for r in raw], type=pa.binary()), pa.array(norms.astype(np.float32)), look],
-                names=["key", "h", "rn", "asks", "x", "list", "codes", "norm", "look"],
+                [_col(b, "key"), _col(b, "h"), _col(b, "rn"), pa.array([r.tobytes() for r in x], type=pa.binary()), pa.array(codes[:, 0].astype(np.int32)), pa.array([r.tobytes() for r in raw], type=pa.binary()), pa.array(norms.astype(np.float32))],
+                names=["key", "h", "rn", "x", "list", "codes", "norm"],
             )
 
 
-def _angle(x: np.ndarray, to: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(x @ to.T, -1, 1))
-
-
-def _directions(words: np.ndarray) -> np.ndarray:
-    return words / np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1e-12)
-
-
-def _angles(batches: Iterator[pa.RecordBatch], shared, dim: int) -> Iterator[pa.RecordBatch]:
-    """Least and greatest angle between the vectors of a list and its first codeword, by batch."""
-    u = _directions(shared.value.books[0])
-    for b in batches:
-        x = np.frombuffer(b"".join(b.column(b.schema.get_field_index("x")).to_pylist()), dtype=np.float32).reshape(-1, dim)
-        at = b.column(b.schema.get_field_index("list")).to_numpy()
-        t = pd.Series(np.arccos(np.clip((x * u[at]).sum(1), -1, 1)).astype(np.float64)).groupby(at).agg(["min", "max"])
-        yield pa.RecordBatch.from_arrays([pa.array(t.index.to_numpy().astype(np.int32)), pa.array(t["min"].to_numpy()), pa.array(t["max"].to_numpy())], names=["list", "lo", "hi"])
+def _send(batches: Iterator[pa.RecordBatch], shared, dim: int, loss: float, least: int) -> Iterator[pa.RecordBatch]:
+    """Each query once to every group that holds one of its lists, with those lists; ``s`` is the least similarity."""
+    q = shared.value
+    for big in batches:
+        for at in range(0, big.num_rows, 500):
+            b = big.slice(at, 500)
+            row, lists = q.lists(_floats(_col(b, "x"), dim), _col(b, "s").to_numpy(), loss, least)
+            g = q.group[lists]
+            order = np.lexsort((lists, g, row))
+            row, g, lists = row[order], g[order], lists[order]
+            new = np.ones(len(row), dtype=bool)
+            new[1:] = (row[1:] != row[:-1]) | (g[1:] != g[:-1])
+            first = np.flatnonzero(new)
+            src = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(g[first].astype(np.int32)), *(_col(b, c).take(src) for c in ("h", "x", "s")), pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(lists.astype(np.int32)))],
+                names=["g", "h", "x", "s", "look"],
+            )
 
 
-def _possible(batches: Iterator[pa.RecordBatch], shared, bounds, dim: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Each query with all lists that may hold a vector of similarity ``least`` or more: angles obey the triangle inequality."""
-    lists, lo, hi = bounds.value
-    u, reach = _directions(shared.value.books[0])[lists], np.arccos(max(least, -1.0)) + 2e-3
-    for big in batches:
-        for at in range(0, big.num_rows, 2000):
-            b = big.slice(at, 2000)
-            x = np.frombuffer(b"".join(b.column(b.schema.get_field_index("x")).to_pylist()), dtype=np.float32).reshape(-1, dim)
-            t = _angle(x, u)
-            row, col = np.nonzero((t - hi <= reach) & (lo - t <= reach))
-            off = np.append(0, np.cumsum(np.bincount(row, minlength=len(x)))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("h")), b.column(b.schema.get_field_index("x")), pa.ListArray.from_arrays(pa.array(off), pa.array(lists[col].astype(np.int32)))], names=["h", "x", "look"])
+def _best(score: np.ndarray, k: int) -> np.ndarray:
+    """The k-th greatest of each column; below every score where there are not as many."""
+    return np.partition(score, len(score) - k, axis=0)[len(score) - k] if len(score) > k else np.full(score.shape[1], -3.0, dtype=score.dtype)
 
 
-def _search(items: pd.DataFrame, queries: pd.DataFrame, q: Quantiser, dim: int, k: int, least: float) -> pd.DataFrame:
-    """The best k of one block of a group's items for each of its queries."""
+def _search(items: pd.DataFrame, queries: pd.DataFrame, q: Quantiser, dim: int, k: int) -> pd.DataFrame:
+    """The best k of one block of a group's items for each of its queries, with all that tie with the last of a list."""
     none = pd.DataFrame({"h": pd.Series(dtype="int64"), "key": pd.Series(dtype=object), "sim": pd.Series(dtype="float64")})
     if not len(items) or not len(queries):
         return none
+    order = np.argsort(items["list"].to_numpy(), kind="stable")
+    items = items.iloc[order]
     xs = np.frombuffer(b"".join(items["x"]), dtype=np.float32).reshape(-1, dim)
     codes = np.frombuffer(b"".join(items["codes"]), dtype=np.uint8).reshape(len(items), -1)
-    scale = 1 / np.sqrt(np.maximum(items["norm"].to_numpy(), 1e-12))
-    coded = q.books[0][items["list"].to_numpy()] + sum(q.books[m + 1][codes[:, m]] for m in range(codes.shape[1]))
+    at_list, keys = items["list"].to_numpy(), items["key"].to_numpy()
+    scale = (1 / np.sqrt(np.maximum(items["norm"].to_numpy(), 1e-12))).astype(np.float32)
+    coded = q.books[0][at_list] + sum(q.books[m + 1][codes[:, m]] for m in range(codes.shape[1]))
     err = np.linalg.norm(xs - coded * scale[:, None], axis=1).astype(np.float32)
-    keys = items["key"].to_numpy()
-    by_list = {int(c): ix for c, ix in items.groupby("list").indices.items()}
+    # no similarity is further from its estimate than the coded vector from the true one, and across it few are near that
+    slack = np.minimum(err, err * err / 2 + err * min(1.0, SIGMAS / math.sqrt(dim)))
+    lists, starts = np.unique(at_list, return_index=True)
+    spans = dict(zip(lists.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(items)])))
     qs = np.frombuffer(b"".join(queries["x"]), dtype=np.float32).reshape(-1, dim)
-    h = queries["h"].to_numpy()
-    asked = np.repeat(np.arange(len(queries)), [len(x) for x in queries["look"]])
-    lists = np.concatenate([np.asarray(x) for x in queries["look"]])
+    h, least = queries["h"].to_numpy(), queries["s"].to_numpy().astype(np.float32)
+    look = queries["look"].to_numpy()
     out_h, out_i, out_s = [], [], []
-    for c, ix in by_list.items():
-        who = asked[lists == c]
-        step = max(1, min(1024, 2_000_000 // len(ix)))
-        for at in range(0, len(who), step):
-            w = who[at : at + step]
-            y = qs[w]
-            score = np.repeat((y @ q.books[0][c])[:, None], len(ix), axis=1)
-            for m in range(codes.shape[1]):
-                score += np.take(y @ q.books[m + 1].T, codes[ix, m], axis=1)
-            score *= scale[ix]
-            # no exact similarity is further from the estimate than the coded vector from the true one
-            low = score - err[ix]
-            bar = np.partition(low, len(ix) - k, axis=1)[:, len(ix) - k] if len(ix) > k else np.full(len(w), -2.0, dtype=np.float32)
-            a, b = np.nonzero(score + err[ix] >= np.maximum(bar, least)[:, None] - 1e-5)
-            exact = np.full_like(score, -2)
-            for n in range(0, len(a), 200_000):
-                e, f = a[n : n + 200_000], b[n : n + 200_000]
-                exact[e, f] = np.einsum("nd,nd->n", xs[ix[f]], y[e])
-            ok = (exact >= least) & (exact > -2)
-            if len(ix) > k:
-                # the k best and all that tie with the last of them
-                ok &= exact >= np.partition(exact, len(ix) - k, axis=1)[:, len(ix) - k][:, None]
-            a, b = np.nonzero(ok)
-            out_h.append(h[w[a]])
-            out_i.append(ix[b])
-            out_s.append(exact[a, b].astype(np.float64))
+    for n0 in range(0, len(qs), 1024):
+        y = qs[n0 : n0 + 1024].T
+        tables = [book @ y for book in q.books[1:]]  # once for all lists
+        asked = np.repeat(np.arange(y.shape[1]), [len(v) for v in look[n0 : n0 + 1024]])
+        wanted = np.concatenate([np.asarray(v) for v in look[n0 : n0 + 1024]])
+        by = np.argsort(wanted, kind="stable")
+        named, first = np.unique(wanted[by], return_index=True)
+        for c, who in zip(named.tolist(), np.split(asked[by], first[1:])):
+            if c not in spans:
+                continue
+            w = who + n0
+            for i0 in range(spans[c][0], spans[c][1], 4096):
+                ix = slice(i0, min(i0 + 4096, spans[c][1]))
+                score = np.repeat((q.books[0][c] @ y[:, who])[None, :], ix.stop - ix.start, axis=0)
+                for m, t in enumerate(tables):
+                    score += t[:, who][codes[ix, m]]
+                score *= scale[ix, None]
+                high = score + slack[ix, None]
+                maybe = high >= least[w] - 1e-5
+                if np.count_nonzero(maybe) > 4 * k * len(w):
+                    maybe &= high >= _best(score - slack[ix, None], k) - 1e-5
+                a, b = np.nonzero(maybe)
+                if not len(a):
+                    continue
+                exact = np.empty(len(a), dtype=np.float32)
+                for j in range(0, len(a), 100_000):
+                    exact[j : j + 100_000] = np.einsum("nd,nd->n", xs[ix][a[j : j + 100_000]], y.T[who[b[j : j + 100_000]]])
+                ok = exact >= least[w[b]]
+                if np.count_nonzero(ok) > 4 * k * len(w):
+                    full = np.full_like(score, -2)
+                    full[a, b] = exact
+                    ok &= exact >= _best(full, k)[b]
+                out_h.append(h[w[b[ok]]])
+                out_i.append(a[ok] + i0)
+                out_s.append(exact[ok].astype(np.float64))
     if not out_h:
         return none
-    i = np.concatenate(out_i)
-    return pd.DataFrame({"h": np.concatenate(out_h), "key": keys[i], "sim": np.concatenate(out_s)})
+    return pd.DataFrame({"h": np.concatenate(out_h), "key": keys[np.concatenate(out_i)], "sim": np.concatenate(out_s)})
 
 
-def nearest(df: DataFrame, *, key: str, vec: str, dim: int, k: int = 5, queries: Column | None = None, least: float = -1.0, probes: int | None = None, list_rows: int = LIST_ROWS) -> DataFrame:
+def _round(items: DataFrame, wanted: DataFrame, shared, dim: int, k: int, loss: float, probes: int, kt: str) -> DataFrame:
+    """``h, neighbour, similarity``: the best k items (``list, key, x, codes, norm``) of every query (``h, x, s``)."""
+    spark, q = items.sparkSession, shared.value
+    # as many rows as lists
+    groups = F.broadcast(spark.createDataFrame(pd.DataFrame({"list": np.arange(len(q.group), dtype=np.int32), "g": q.group}), "list int, g int"))
+    placed = items.join(groups, "list")
+    sent = materialize(wanted.select("h", "x", "s").mapInArrow(lambda it: _send(it, shared, dim, loss, probes), "g int, h long, x binary, s double, look array<int>"))
+    n = lambda size: F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("int")
+    sizes = F.broadcast(placed.groupBy("g").agg(n(BLOCK_ITEMS).alias("bi")).join(sent.groupBy("g").agg(n(BLOCK_QUERIES).alias("bq")), "g"))
+    left = placed.join(sizes, "g").withColumn("i", F.pmod(F.xxhash64("key"), F.col("bi")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("bq") - 1))).drop("bi", "bq")
+    right = sent.join(sizes, "g").withColumn("j", F.pmod("h", F.col("bq")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("bi") - 1))).drop("bi", "bq")
+    found = left.groupBy("g", "i", "j").cogroup(right.groupBy("g", "i", "j")).applyInPandas(lambda a, b: _search(a, b, shared.value, dim, k), f"h long, key {kt}, sim double")
+    r = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("sim"), "key"))
+    return found.withColumn("r", r).where(F.col("r") <= k).select("h", F.col("key").alias("neighbour"), F.col("sim").alias("similarity"), "r")
+
+
+def nearest(df: DataFrame, *, key: str, vec: str, dim: int, k: int = 5, queries: Column | None = None, least: float | None = None, loss: float = LOSS, probes: int = 1, list_rows: int = LIST_ROWS) -> DataFrame:
     """``key, neighbour, similarity, rank``: up to k most similar other vectors (cosine, then neighbour's key) of every
-    usable vector, or of those for which ``queries`` holds, with a similarity of ``least`` or more.
+    usable vector, or of those for which ``queries`` holds, with a similarity of ``least`` or more. ``probes`` lists at least are looked into for each.
 
     Vectors that are null, of another length, all zero or not finite take no part on either side; norms don't count.
     Null keys are left out; a key given twice with one vector counts once, with several vectors each has its neighbours. An empty table gives no rows. Other columns are not looked at."""
@@ -230,70 +305,43 @@ def nearest(df: DataFrame, *, key: str, vec: str, dim: int, k: int = 5, queries:
     rows = given.where(usable(F.col("vec"), dim)).select("key", F.col("vec").cast("array<float>").alias("vec"), "asks")
     rows = rows.withColumn("h", F.xxhash64("vec"))
     total = rows.count()
-    # each vector by its hash with the same chance, so the sample needs no sort; the limit only guards its size
-    take = F.pmod(F.xxhash64("h", "key"), F.lit(1_000_000)) < F.lit(min(1_000_000, max(1, 1_000_000 * FIT_ROWS // max(total, 1))))
-    sample = rows.where(take).select("vec").limit(2 * FIT_ROWS).toArrow()
-    if not sample.num_rows:
-        sample = rows.select("vec").limit(FIT_ROWS).toArrow()
-    if not sample.num_rows:
+    if not total:
         return spark.createDataFrame([], f"key {kt}, neighbour {kt}, similarity double, rank int")
+    lists = max(1, min(round(total / list_rows), max(round(LIST_ROOT * math.sqrt(total)), FIT_LEAST // (4 * FIT_LIST)), FIT_MOST // FIT_LIST))
+    fit_rows = min(FIT_MOST, max(FIT_LEAST, FIT_LIST * lists))
+    # each vector by its hash with the same chance, so the sample needs no sort and isn't the start of a scan
+    take = F.pmod(F.xxhash64("h", "key"), F.lit(1_000_000)) < F.lit(min(1_000_000, max(1, 1_000_000 * fit_rows // total)))
+    sample = rows.where(take).select("vec").toArrow()
+    if not sample.num_rows:
+        sample = rows.select("vec").limit(fit_rows).toArrow()
     x = _unit(sample["vec"].combine_chunks(), dim)
-    shared = spark.sparkContext.broadcast(fit(x, max(1, min(MOST_LISTS, len(x) // 4 or 1, round(total / list_rows)))))
-    q = shared.value
+    lists = min(lists, max(1, len(x) // 4))
+    shared = spark.sparkContext.broadcast(fit(x, lists, max(1, round(GROUP_ROWS * lists / total))))
     members = rows.select("h", "key", "asks")
     of_class = rows.withColumn("rn", F.dense_rank().over(Window.partitionBy("h").orderBy("key"))).where(F.col("rn") <= k + 1)
     again = F.row_number().over(Window.partitionBy("h", "key").orderBy("rn"))
-    ranked = of_class.withColumn("again", again).where("again = 1").drop("again")
-    coded = materialize(ranked.mapInArrow(lambda it: _encode(it, shared, dim, probes or 1), f"key {kt}, h long, rn int, asks boolean, x binary, list int, codes binary, norm float, look array<int>"))
-    # at most MOST_LISTS rows
-    groups = F.broadcast(spark.createDataFrame(pd.DataFrame({"list": np.arange(len(q.group), dtype=np.int32), "g": q.group}), "list int, g int"))
-    items = coded.join(groups, "list").select("g", "list", "key", "x", "codes", "norm")
-    classes = members.where("asks").select("h").distinct()
-    wanted = coded.where("rn = 1").select("h", "x", "look")
-    wanted = wanted if queries is None else wanted.join(classes, "h", "left_semi")
-    if probes is None:
-        ranges = coded.mapInArrow(lambda it: _angles(it, shared, dim), "list int, lo double, hi double").groupBy("list").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).toPandas()
-        bounds = spark.sparkContext.broadcast((ranges["list"].to_numpy(), ranges["lo"].to_numpy(), ranges["hi"].to_numpy()))
-        wanted = materialize(wanted.mapInArrow(lambda it: _possible(it, shared, bounds, dim, least), "h long, x binary, look array<int>"))
-    sent = wanted.mapInArrow(lambda it: _send(it, shared), "g int, h long, x binary, look array<int>")
-    size_i = items.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ITEMS), F.lit(1)).cast("int").alias("bi"))
-    size_q = wanted.select("h", F.explode("look").alias("list")).join(groups, "list").groupBy("g").agg(F.greatest(F.ceil(F.count_distinct("h") / BLOCK_QUERIES), F.lit(1)).cast("int").alias("bq"))
-    sizes = F.broadcast(size_i.join(size_q, "g"))
-    items = items.join(sizes, "g").withColumn("i", F.pmod(F.xxhash64("key"), F.col("bi")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("bq") - 1))).drop("bi", "bq")
-    sent = sent.join(sizes, "g").withColumn("j", F.pmod("h", F.col("bq")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("bi") - 1))).drop("bi", "bq")
-    found = items.groupBy("g", "i", "j").cogroup(sent.groupBy("g", "i", "j")).applyInPandas(lambda a, b: _search(a, b, shared.value, dim, k + 1, least), f"h long, key {kt}, sim double")
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("sim"), "key"))).where(F.col("r") <= k + 1).select("h", F.col("key").alias("neighbour"), F.col("sim").alias("similarity"))
+    ranked = of_class.withColumn("again", again).where("again = 1").drop("again", "asks")
+    coded = materialize(ranked.mapInArrow(lambda it: _encode(it, shared, dim), f"key {kt}, h long, rn int, x binary, list int, codes binary, norm float"))
+    items = coded.select("list", "key", "x", "codes", "norm")
+    wanted = coded.where("rn = 1").select("h", "x")
+    wanted = wanted if queries is None else wanted.join(members.where("asks").select("h").distinct(), "h", "left_semi")
+    if least is None:
+        first = _round(items, wanted.withColumn("s", F.lit(1.0)), shared, dim, k + 1, loss, probes, kt)
+        kth = first.where(F.col("r") == k + 1).select("h", F.col("similarity").alias("s"))
+        asks = wanted.join(kth, "h", "left").select("h", "x", F.coalesce("s", F.lit(-1.0)).alias("s"))
+    else:
+        asks = wanted.withColumn("s", F.lit(float(least)))
+    best = _round(items, asks, shared, dim, k + 1, loss, probes, kt).select("h", "neighbour", "similarity")
     own = members.where("asks").select("h", "key").distinct()
     pairs = best.join(own, "h").where(F.col("neighbour") != F.col("key"))
     rank = F.row_number().over(Window.partitionBy("key", "h").orderBy(F.desc("similarity"), "neighbour"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("key", "neighbour", "similarity", "rank")
 
 
-def _send(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Each query once to every group that holds one of its lists, with those lists."""
-    group = shared.value.group
-    for b in batches:
-        look = b.column(b.schema.get_field_index("look"))
-        off = look.offsets.to_numpy()
-        lists = look.values.to_numpy()[off[0] : off[-1]]
-        row = np.repeat(np.arange(b.num_rows), np.diff(off))
-        g = group[lists]
-        order = np.lexsort((g, row))
-        row, g, lists = row[order], g[order], lists[order]
-        new = np.ones(len(row), dtype=bool)
-        new[1:] = (row[1:] != row[:-1]) | (g[1:] != g[:-1])
-        at = np.flatnonzero(new)
-        src = pa.array(row[at])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(g[at].astype(np.int32)), b.column(b.schema.get_field_index("h")).take(src), b.column(b.schema.get_field_index("x")).take(src), pa.ListArray.from_arrays(pa.array(np.append(at, len(row)).astype(np.int32)), pa.array(lists.astype(np.int32)))],
-            names=["g", "h", "x", "look"],
-        )
-
-
 DIM, BOUND = 64, 0.9
 
 
-def similar_pairs(df: DataFrame, *, key: str, vec: str, bound: float = BOUND, dim: int = DIM, k: int = 5, probes: int | None = None) -> DataFrame:
+def similar_pairs(df: DataFrame, *, key: str, vec: str, bound: float = BOUND, dim: int = DIM, k: int = 5, loss: float = LOSS) -> DataFrame:
     """``key_a, key_b`` (smaller first): pairs at or above the bound of which one is among the k nearest of the other."""
-    near = nearest(df.select(F.col(key).cast("string").alias("key"), F.col(vec).alias("vec")), key="key", vec="vec", dim=dim, k=k, least=bound, probes=probes)
+    near = nearest(df.select(F.col(key).cast("string").alias("key"), F.col(vec).alias("vec")), key="key", vec="vec", dim=dim, k=k, least=bound, loss=loss)
     return near.select(F.least("key", "neighbour").alias("key_a"), F.greatest("key", "neighbour").alias("key_b")).distinct()
