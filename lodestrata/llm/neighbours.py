@@ -37,11 +37,11 @@ from lodestrata.session import materialize, spread
 #: Vectors the codebooks are fitted on: at least, a list, at most.
 FIT_LEAST, FIT_LIST, FIT_MOST = 20_000, 32, 500_000
 #: Vectors of an inverted list at least, lists as a multiple of the root of all vectors, vectors of a group of lists.
-LIST_ROWS, LIST_ROOT, GROUP_ROWS = 500, 0.5, 32_000
+LIST_ROWS, LIST_ROOT, GROUP_ROWS = 500, 0.5, 10_000
 #: Codebooks after the first, codewords of each, width of the beam.
 LEVELS, WORDS, BEAM = 8, 256, 4
 #: Rows of either side that one task holds at a time.
-BLOCK_ITEMS, BLOCK_QUERIES = 50_000, 20_000
+BLOCK_ITEMS, BLOCK_QUERIES = 20_000, 8_000
 #: Neighbours a query may expect to lose by the lists it leaves out; standard deviations of the quantisation error.
 LOSS, SIGMAS = 0.005, 4.0
 
