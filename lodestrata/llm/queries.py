@@ -14,6 +14,12 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return out.select(out["key_a"].alias("id_a"), out["key_b"].alias("id_b"))
 
 
+def p2_classes(spark: SparkSession, root: str) -> DataFrame:
+    """Every document with its class of copies and the number of other classes alike (five words, 0.8)."""
+    docs = table(spark, root, "documents")
+    return near_duplicates.linked_texts(docs, key="doc_id", text="text").select("key", "n_copies", "n_links")
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     a = neighbours.similar_pairs(table(spark, root, "anchors"), key="id", vec="overview_embedding")
     c = neighbours.similar_pairs(table(spark, root, "chunks_vec"), key="chunk_id", vec="embedding")
@@ -76,7 +82,7 @@ def p9_kinds(spark: SparkSession, root: str) -> DataFrame:
     return out.groupBy("source", "kind").agg(F.count("*").alias("n_docs"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_nearest": p3_nearest, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_chosen": p8_chosen, "p8_shares": p8_shares, "p9_found": p9_found, "p9_kinds": p9_kinds}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_nearest": p3_nearest, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_chosen": p8_chosen, "p8_shares": p8_shares, "p9_found": p9_found, "p9_kinds": p9_kinds}
 
 SQL = {
     # every shingle's whole list joined with itself and counted
@@ -86,6 +92,16 @@ g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i:
 n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
 o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared FROM g a JOIN g b ON a.s = b.s AND a.id < b.id GROUP BY a.id, b.id)
 SELECT id_a, id_b FROM o JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE shared >= 0.7 * (x.n + y.n - shared)
+""",
+    # copies are those with one set of shingles
+    "p2_classes": """
+WITH w AS (SELECT doc_id AS key, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+g AS (SELECT key, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4])))) AS s FROM w WHERE len(w) >= 5),
+c AS (SELECT row_number() OVER () AS c, s, len(s) AS n, count(*) AS copies FROM g GROUP BY s),
+e AS (SELECT c, n, unnest(s) AS x FROM c),
+o AS (SELECT a.c AS a, b.c AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.c < b.c GROUP BY ALL),
+l AS (SELECT c, count(*) AS n_links FROM (SELECT unnest([a, b]) AS c FROM o WHERE shared >= 0.8 * (na + nb - shared) - 1e-9) GROUP BY c)
+SELECT g.key, c.copies AS n_copies, coalesce(l.n_links, 0) AS n_links FROM g JOIN c ON g.s = c.s LEFT JOIN l ON l.c = c.c
 """,
     # brute force: every usable vector with every other
     "p3_found": """
