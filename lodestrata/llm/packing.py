@@ -1,15 +1,16 @@
 """Items of varying size put into containers of fixed capacity with little unused room.
 
-Items are dealt into shards by hash, each small enough for one task. A shard starts from best fit by falling size and
-is improved by local search: the emptiest container gives an item to another (move), or exchanges one for one, one for
-two, or two for one, whenever that raises the sum of squared fills; a container left without items is gone. Items of the
-containers that a shard leaves too empty are dealt again into fewer shards.
+Items are dealt into shards by hash, each small enough for one task. A shard is filled in the order of its keys, a new
+container being begun where an item doesn't fit, and then packed by local search: the emptiest container that isn't stuck
+gives an item to another (move), or exchanges one for one, two for one or one for two, whenever that raises the sum of
+squared fills. A container left without items is gone; the search ends when there are as few containers as the sum of
+sizes allows, or when no step raises the sum. All partners in the shard are looked at, by distinct sizes: a container
+has at most about the root of twice its capacity of them, so no step needs a limit. Items of the containers that a
+shard leaves too empty are dealt again into fewer shards.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,104 +26,138 @@ SHARD_ITEMS = 4000
 GOOD_FILL = 0.97
 
 
-def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Container of each item: the fullest one with room, items by falling size."""
+def in_order(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Container of each item as they come: a new one where an item doesn't fit."""
     out = np.empty(len(sizes), dtype=np.int64)
-    rooms: list[tuple[int, int]] = []
-    n = 0
-    for i in np.argsort(-sizes, kind="stable"):
-        s = int(sizes[i])
-        k = bisect_left(rooms, (s, -1))
-        if k < len(rooms):
-            room, b = rooms.pop(k)
-        else:
-            room, b = capacity, n
-            n += 1
+    b = room = -1
+    for i, s in enumerate(sizes.tolist()):
+        if s > room:
+            b, room = b + 1, capacity
         out[i] = b
-        if room > s or s == 0:
-            insort(rooms, (room - s, b))
+        room -= s
     return out
 
 
-def improve(sizes: np.ndarray, bins: np.ndarray, capacity: int, tries: int = 400) -> np.ndarray:
+class Search:
+    """Local search over one shard's containers; ``steps`` counts moves and exchanges (by given and taken items)."""
+
+    def __init__(self, sizes: np.ndarray, bins: np.ndarray, capacity: int) -> None:
+        self.sizes, self.bins, self.capacity = sizes, bins.copy(), capacity
+        n = int(bins.max()) + 1 if len(bins) else 0
+        self.fill = np.bincount(bins, weights=sizes, minlength=n).astype(np.int64)
+        self.items: list[list[int]] = [[] for _ in range(n)]
+        for i in np.flatnonzero(sizes > 0).tolist():
+            self.items[bins[i]].append(i)
+        # of every container one item of each size, and one pair of items of each sum
+        self.one: list[np.ndarray] = [self._ones(b) for b in range(n)]
+        self.two: dict[int, np.ndarray] = {}
+        self.steps: dict[tuple[int, int], int] = {}
+
+    def _ones(self, b: int) -> np.ndarray:
+        """Rows (size, item)."""
+        got = {int(self.sizes[i]): i for i in self.items[b]}
+        return np.array(sorted(got.items()), dtype=np.int64).reshape(-1, 2)
+
+    def _twos(self, b: int) -> np.ndarray:
+        """Rows (sum, item, item)."""
+        if b not in self.two:
+            own: dict[int, list[int]] = {}
+            for i in self.items[b]:
+                own.setdefault(int(self.sizes[i]), []).append(i)
+            got: dict[int, tuple[int, int]] = {}
+            sizes = sorted(own)
+            for k, x in enumerate(sizes):
+                if len(own[x]) > 1:
+                    got[2 * x] = (own[x][0], own[x][1])
+                for y in sizes[k + 1 :]:
+                    got[x + y] = (own[x][0], own[y][0])
+            self.two[b] = np.array([(k, *v) for k, v in sorted(got.items())], dtype=np.int64).reshape(-1, 3)
+        return self.two[b]
+
+    def _apply(self, b: int, t: int, give: list[int], take: list[int]) -> None:
+        for i in give:
+            self.items[b].remove(i)
+        for i in take:
+            self.items[t].remove(i)
+        self.items[t] += give
+        self.items[b] += take
+        self.bins[give], d = t, int(self.sizes[give].sum())
+        if take:
+            self.bins[take], d = b, d - int(self.sizes[take].sum())
+        self.fill[t] += d
+        self.fill[b] -= d
+        for x in (b, t):
+            self.one[x] = self._ones(x)
+            self.two.pop(x, None)
+        self.steps[len(give), len(take)] = self.steps.get((len(give), len(take)), 0) + 1
+
+    def _exchange(self, b: int, targets: np.ndarray, mine: np.ndarray, theirs: list[np.ndarray]) -> bool:
+        """The exchange of one of ``mine`` for one of ``theirs`` that raises the sum of squares most; rows hold a size and items."""
+        if not len(mine) or not len(targets):
+            return False
+        rows = np.concatenate(theirs)
+        of = np.repeat(targets, [len(x) for x in theirs])
+        room = self.capacity - self.fill[of]
+        d = mine[:, :1] - rows[None, :, 0]
+        gain = np.where((d > 0) & (d <= room), d * (self.fill[of] - self.fill[b] + d), 0)
+        k = int(np.argmax(gain)) if gain.size else 0
+        if not gain.size or gain.flat[k] <= 0:
+            return False
+        i, j = divmod(k, len(rows))
+        self._apply(b, int(of[j]), mine[i, 1:].tolist(), rows[j, 1:].tolist())
+        return True
+
+    def step(self, b: int) -> bool:
+        """One step that raises the sum of squares, by giving from ``b`` to containers no emptier: a move into the least room
+        that the largest possible item fills, else the best exchange of one for one, two for one, or one for two."""
+        room = self.capacity - self.fill
+        targets = np.flatnonzero((room > 0) & (self.fill >= self.fill[b]) & (self.fill > 0))
+        targets = targets[targets != b]
+        mine = self.one[b]
+        if not len(targets) or not len(mine):
+            return False
+        rooms = room[targets]
+        for s, i in mine[::-1].tolist():
+            left = np.where(rooms >= s, rooms - s, self.capacity + 1)
+            k = int(np.argmin(left))
+            if left[k] <= self.capacity:
+                self._apply(b, int(targets[k]), [i], [])
+                return True
+        ones = [self.one[t] for t in targets.tolist()]
+        return (
+            self._exchange(b, targets, mine, ones)
+            or self._exchange(b, targets, self._twos(b), ones)
+            or self._exchange(b, targets, mine, [self._twos(t) for t in targets.tolist()])
+        )
+
+    def run(self) -> np.ndarray:
+        least = -(-int(self.sizes.sum()) // self.capacity)
+        stuck = np.zeros(len(self.fill), dtype=bool)
+        while np.count_nonzero(self.fill) > least:
+            open_ = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity) & ~stuck)
+            if not len(open_):
+                break
+            b = int(open_[np.argmin(self.fill[open_])])
+            if self.step(b):
+                stuck[:] = False
+            else:
+                stuck[b] = True
+        # items without a size stay where they are, or go to any container if theirs is gone
+        used = np.flatnonzero(self.fill > 0)
+        gone = (self.sizes == 0) & (self.fill[self.bins] == 0) if len(self.bins) else np.zeros(0, dtype=bool)
+        if gone.any() and len(used):
+            self.bins[gone] = used[0]
+        return np.unique(self.bins, return_inverse=True)[1].reshape(-1)
+
+
+def improve(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
     """Local search from ``bins``; every step raises the sum of squared fills, so it ends."""
-    bins = bins.copy()
-    if not len(bins):
-        return bins
-    fill = np.bincount(bins, weights=sizes).astype(np.int64)
-    least = -(-int(sizes.sum()) // capacity)
-    stuck: set[int] = set()
-    for _ in range(tries):
-        open_ = [b for b in np.flatnonzero((fill > 0) & (fill < capacity)) if b not in stuck]
-        if np.count_nonzero(fill) <= least or len(open_) < 1:
-            break
-        b = min(open_, key=lambda x: fill[x])
-        if not _step(sizes, bins, fill, capacity, b):
-            stuck.add(b)
-        else:
-            stuck.clear()
-    used = np.unique(bins)
-    return np.searchsorted(used, bins)
-
-
-def _step(sizes: np.ndarray, bins: np.ndarray, fill: np.ndarray, capacity: int, b: int) -> bool:
-    """The best move or exchange between container ``b`` and a fuller one; False if none raises the sum of squares."""
-    room = capacity - fill
-    mine = np.flatnonzero((bins == b) & (sizes > 0))
-    other = np.flatnonzero((bins != b) & (room[bins] > 0) & (fill[bins] >= fill[b]) & (sizes > 0))
-    if not len(mine) or not len(other):
-        return False
-    ob, osz = bins[other], sizes[other]
-    fits = np.flatnonzero((room > 0) & (fill >= fill[b]) & (np.arange(len(fill)) != b))
-    best, do = 0, None
-
-    def gain(d: np.ndarray, target: np.ndarray) -> np.ndarray:
-        return 2 * d * (fill[target] - fill[b] + d)
-
-    for i in mine:
-        s = int(sizes[i])
-        ok = fits[room[fits] >= s]
-        if len(ok):  # move
-            g = gain(np.full(len(ok), s), ok)
-            k = int(np.argmax(g))
-            if g[k] > best:
-                best, do = g[k], ([i], int(ok[k]), [])
-        d = s - osz  # one for one
-        g = np.where((d > 0) & (d <= room[ob]), gain(d, ob), 0)
-        k = int(np.argmax(g))
-        if g[k] > best:
-            best, do = g[k], ([i], int(ob[k]), [other[k]])
-        for t in fits[np.argsort(room[fits])][:24]:  # one for two of the containers with least room
-            mem = other[ob == t]
-            if len(mem) > 1:
-                pair = sizes[mem][:, None] + sizes[mem][None, :]
-                dd = s - pair
-                g2 = np.where(np.triu(np.ones_like(pair, dtype=bool), 1) & (dd > 0) & (dd <= room[t]), 2 * dd * (fill[t] - fill[b] + dd), 0)
-                k = int(np.argmax(g2))
-                if g2.flat[k] > best:
-                    best, do = g2.flat[k], ([i], int(t), [mem[k // len(mem)], mem[k % len(mem)]])
-    for x in range(min(len(mine), 12)):  # two for one
-        for y in range(x + 1, min(len(mine), 12)):
-            d = int(sizes[mine[x]] + sizes[mine[y]]) - osz
-            g = np.where((d > 0) & (d <= room[ob]), gain(d, ob), 0)
-            k = int(np.argmax(g))
-            if g[k] > best:
-                best, do = g[k], ([mine[x], mine[y]], int(ob[k]), [other[k]])
-    if do is None:
-        return False
-    give, t, take = do
-    d = int(sizes[give].sum() - (sizes[take].sum() if take else 0))
-    bins[give] = t
-    if take:
-        bins[take] = b
-    fill[t] += d
-    fill[b] -= d
-    return True
+    return Search(np.asarray(sizes, dtype=np.int64), bins, capacity).run() if len(bins) else bins
 
 
 def pack_shard(sizes: np.ndarray, capacity: int) -> np.ndarray:
     sizes = np.asarray(sizes, dtype=np.int64)
-    return improve(sizes, best_fit(sizes, capacity), capacity)
+    return improve(sizes, in_order(sizes, capacity), capacity)
 
 
 def _round(items: DataFrame, shards: int, capacity: int, number: int) -> DataFrame:
@@ -136,7 +171,10 @@ def _round(items: DataFrame, shards: int, capacity: int, number: int) -> DataFra
         return pdf.assign(container=[f"{number}-{shard}-{x}" for x in b], fill=full[b].astype(np.int64))[["item_key", "part", "copy", "n_tokens", "container", "fill"]]
 
     key = items.schema["item_key"].dataType.simpleString()
-    return dealt.groupBy("_shard").applyInPandas(one, f"item_key {key}, part int, copy long, n_tokens int, container string, fill long")
+    # as many partitions as shards, which adaptive execution would merge: the rows are few bytes, but much work
+    spark = items.sparkSession
+    parts = min(shards, 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return dealt.repartition(parts, "_shard").groupBy("_shard").applyInPandas(one, f"item_key {key}, part int, copy long, n_tokens int, container string, fill long")
 
 
 def pack(items: DataFrame, *, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, good_fill: float = GOOD_FILL) -> DataFrame:
