@@ -14,15 +14,24 @@ from lodestrata.session import spread
 
 # Words of placeholders and of notes to write the documentation later, in four languages.
 META_WORDS = set(
-    """a add adds an available auto automatically be before by code coming comment comments describe described
-description descriptions doc docs docstring document documentation documented fill fixme follow follows for function
-functions generated go goes has have here in insert is it later me method missing more n na needed needs no none not
-of on out pending placeholder please release scaffold see soon some stub stubbed summary tba tbd template text that
-the this to todo undocumented until up will write written xxx yet your
+    """a add added adds an available auto automatically be before by code coming comment comments describe described
+completed description descriptions doc docs docstring document documentation documented empty fill filled fixme follow
+follows for function functions generated go goes has have here in insert is it later me method missing more must n na
+needed needs no none not of on out pending placeholder please provided release scaffold scaffolded see should some soon
+still stub stubbed summary supplied tba tbd template temporary text that the this to todo undocumented until up updated
+was will write written xxx yet your
 beschreibung dokumentation doku fehlt folgt folgen noch nicht ausstehend ergänzen
 description à a compléter completer documenter documentation venir suivre manquante
 pendiente pendientes de documentar descripción documentación falta completar por hacer""".split()
 )
+# Those of them of which a note has one at least; the others are only what stands around them.
+NOTE_WORDS = set(
+    """comment comments describe description descriptions doc docs docstring document documentation documented fill filled
+fixme follow follows goes later missing n na none pending placeholder scaffold soon stub stubbed summary tba tbd todo
+undocumented write written xxx
+beschreibung dokumentation doku fehlt folgt folgen ausstehend ergänzen compléter completer documenter venir suivre
+manquante pendiente pendientes documentar descripción documentación falta completar""".split()
+)
 # Words that add nothing to a function's name.
 NAME_FILLERS = set("a an the this that these its is are it of to for and with on function functions method methods func fn def procedure routine helper does do will".split())
 
@@ -45,9 +54,14 @@ def name_words(name: str) -> list[str]:
     return [w.lower() for w in _PART.findall(name)]
 
 
-def says_something(doc: str | None, name: str) -> bool:
-    """False for documentation that is missing, blank or without a letter, that is a placeholder or a note to write
-    it later, that holds only tags without text, or only the function's name in other words."""
+def _is_note(words: list[str]) -> bool:
+    """A note to write documentation, or that there is none: nothing but words of such notes."""
+    return all(w in META_WORDS for w in words) and any(w in NOTE_WORDS for w in words)
+
+
+def says_something(doc: str | None, name: str, min_words: int = 1) -> bool:
+    """False for documentation that is missing, blank or of fewer than ``min_words`` words, that is a placeholder or a note
+    to write it later, that holds only tags without text, or only the function's name in other words."""
     if doc is None:
         return False
     if _MARKER.match(doc):
@@ -56,34 +70,33 @@ def says_something(doc: str | None, name: str) -> bool:
     tagged = any(_SECTION.match(x) or re.match(r"^\s*[@:\\]\w", x) for x in lines)
     kept = [x for x in lines if not (tagged and (_TAG.match(x) or _TAG_TEXT.match(x) or _SECTION.match(x)))]
     words = re.findall(r"[^\W\d_]+", " ".join(kept))
-    if not words:
+    if len(words) < max(min_words, 1):
         return False
-    low = [w.lower() for w in words]
-    if len(low) <= 12 and all(w in META_WORDS for w in low):
+    if _is_note([w.lower() for w in words]):
         return False
     parts = {_stem(w) for w in name_words(name)}
-    said = [w for x in re.findall(r"\w+", " ".join(kept)) for w in name_words(x)]
-    return not all(w in NAME_FILLERS or _stem(w) in parts for w in said)
+    told = [w for x in re.findall(r"\w+", " ".join(kept)) for w in name_words(x)]
+    return not all(w in NAME_FILLERS or _stem(w) in parts for w in told)
 
 
 SCHEMA = "id string, language string, func_name string, documentation string, code string, start int, stop int"
 _ARROW = pa.schema([("id", pa.string()), ("language", pa.string()), ("func_name", pa.string()), ("documentation", pa.string()), ("code", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, langs, texts = (b.column(b.schema.get_field_index(x)).to_pylist() for x in ("id", "language", "text"))
         rows = []
         for i, lang, text in zip(ids, langs, texts):
             tree, source = functions(text, lang)
             for f in walk(tree):
-                if says_something(f.doc, f.name):
+                if says_something(f.doc, f.name, min_words):
                     rows.append((i, lang, f.name, f.doc, source[f.start : f.end], f.start, f.end))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
-def function_docs(df: DataFrame, *, key: str, path: str, text: str) -> DataFrame:
+def function_docs(df: DataFrame, *, key: str, path: str, text: str, min_words: int = 1) -> DataFrame:
     """``id, language, func_name, documentation, code, start, stop``: one row per named function or method, nested
     ones too, whose documentation says something. ``start`` and ``stop`` are character positions of the function with
     its attributes in the text (line ends as LF); ``code`` is that range.
@@ -94,7 +107,7 @@ def function_docs(df: DataFrame, *, key: str, path: str, text: str) -> DataFrame
     ending = F.lower(F.regexp_extract(F.col(path), r"\.(\w+)$", 1))
     language = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[ending]
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("id"), language.alias("language"), F.col(text).alias("text"))
-    return spread(rows.where(F.col("language").isNotNull())).mapInArrow(_pairs, SCHEMA)
+    return spread(rows.where(F.col("language").isNotNull())).mapInArrow(lambda it: _pairs(it, min_words), SCHEMA)
 
 
 def anchor_functions(anchors: DataFrame) -> DataFrame:
