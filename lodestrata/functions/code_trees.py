@@ -46,37 +46,53 @@ def _char_at(lines: list[str], starts: list[int], line: int, byte: int) -> int:
     return starts[min(line, len(starts)) - 1] + len(s.encode("utf-8", "replace")[:byte].decode("utf-8", "ignore"))
 
 
-def _parse_python(text: str) -> tuple[ast.Module, str] | None:
-    """The module and the text it was parsed from: as given, dedented, or cut behind the last line that parses."""
+_BLOCK = re.compile(r"(?:async\s+def|def|class)\b|@")
+
+
+def _parts(lines: list[str], lo: int, hi: int) -> list[ast.Module]:
+    """Trees of the lines from ``lo`` to ``hi``, with the line numbers of the text. What doesn't parse is split at the
+    definitions of its own depth, and a definition that doesn't parse is replaced by those inside it; so only what stands
+    in a broken definition itself is lost, and nothing behind it."""
+    full = [i for i in range(lo, hi) if lines[i].strip()]
+    if not full:
+        return []
+    depth = min(len(lines[i]) - len(lines[i].lstrip()) for i in full)
+    head = "\n" * lo if not depth else "\n" * (lo - 1) + "if 1:\n"
+    try:
+        return [ast.parse(head + "\n".join(lines[lo:hi]))]
+    except SyntaxError:
+        pass
+    except (ValueError, RecursionError, MemoryError):
+        return []
+    cuts, decorated = [], False
+    for i in full:
+        if len(lines[i]) - len(lines[i].lstrip()) == depth:
+            if _BLOCK.match(lines[i].lstrip()) and not decorated:
+                cuts.append(i)
+            decorated = lines[i].lstrip().startswith("@")
+    if cuts == [] or cuts == [full[0]]:
+        inner = next((i for i in full[1:] if _BLOCK.match(lines[i].lstrip())), hi)
+        return _parts(lines, inner, hi)
+    spans = zip([full[0], *cuts] if cuts[0] > full[0] else cuts, [*cuts, hi] if cuts[0] > full[0] else [*cuts[1:], hi])
+    return [t for x, y in spans for t in _parts(lines, x, y)]
+
+
+def _parse_python(text: str) -> tuple[list[ast.Module], str]:
+    """The modules and the text they were parsed from: as given, dedented, or in parts."""
     dedented = textwrap.dedent(text.expandtabs(8))
     for source in (text, dedented, "if 1:\n" + text if text[:1] in " \t" else dedented):
         try:
-            return ast.parse(source), source
+            return [ast.parse(source)], source
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             continue
-    lines, tries, end = dedented.split("\n"), 0, None
     try:
-        ast.parse(dedented)
-    except SyntaxError as e:
-        end = (e.lineno or 1) - 1
-    except (ValueError, RecursionError, MemoryError):
-        return None
-    while end and end > 0 and tries < 50:
-        source = "\n".join(lines[:end])
-        try:
-            return ast.parse(source), source
-        except SyntaxError as e:
-            end, tries = min(end, e.lineno or end) - 1, tries + 1
-        except (ValueError, RecursionError, MemoryError):
-            return None
-    return None
+        return _parts(dedented.split("\n"), 0, dedented.count("\n") + 1), dedented
+    except RecursionError:
+        return [], dedented
 
 
 def _python(text: str) -> tuple[list[Function], str]:
-    parsed = _parse_python(text)
-    if parsed is None:
-        return [], text
-    tree, source = parsed
+    trees, source = _parse_python(text)
     lines, starts = source.split("\n"), _line_starts(source)
 
     def visit(node: ast.AST, into: list[Function]) -> None:
@@ -91,7 +107,8 @@ def _python(text: str) -> tuple[list[Function], str]:
             visit(child, target)
 
     out: list[Function] = []
-    visit(tree, out)
+    for tree in trees:
+        visit(tree, out)
     return out, source
 
 
