@@ -200,3 +200,41 @@ DECLARATION = r"(?m)^\s*(?:export\s+|pub\s+|async\s+|default\s+)*(?:def|class|fu
 
 def declared_name(code: Column) -> Column:
     return F.nullif(F.regexp_extract(code, DECLARATION, 1), F.lit(""))
+
+
+def quoted_query(query: Column) -> Column:
+    """A query as quoted words, each to be matched as it is: split at white space, inner quotes doubled; empty without words."""
+    words = F.filter(F.split(query, r"\s+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), F.replace(w, F.lit('"'), F.lit('""')), F.lit('"'))), " ")
+
+
+def text_slice(text: Column, line: Column, char: Column, end_line: Column, end_char: Column) -> Column:
+    """The text from a position to another (lines and characters from 0, the end excluded; a null end character is the end of
+    its line); ranges past the text are cut to it, null where nothing of it is in the range of lines."""
+    lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n", -1)
+    some = F.slice(lines, line + 1, F.greatest(end_line - line + 1, F.lit(0)))
+    n = F.size(some)
+    cut = F.transform(some, lambda x, i: F.substring(x, F.when(i == 0, char + 1).otherwise(F.lit(1)), F.length(x)))
+    full = (n == end_line - line + 1) & end_char.isNotNull()
+    last = F.element_at(some, -1)
+    kept = F.when(n == 1, F.substring(last, char + 1, F.greatest(end_char - char, F.lit(0)))).otherwise(F.substring(last, F.lit(1), end_char))
+    return F.when(n == 0, None).when(full, F.array_join(F.concat(F.slice(cut, F.lit(1), n - 1), F.array(kept)), "\n")).otherwise(F.array_join(cut, "\n"))
+
+
+def signature_hash(signature: Column) -> Column:
+    """Six digits that tell overloads apart."""
+    return short_hash(signature, 6)
+
+
+def file_hash(text: Column) -> Column:
+    """The content hash; for a file that can't be read (null) that of zeros."""
+    return F.coalesce(content_hash(text), F.lit("sha256:" + "0" * 64))
+
+
+# Globs of what is never indexed, whatever a file says of itself.
+SAFETY = ["**/.git/**", "**/secrets/**", "secrets/**", "**/.env", ".env", "**/*.pem", "*.pem", "**/*.key", "*.key"]
+
+
+def safety_excluded(path: Column, globs: list[str] = SAFETY) -> Column:
+    """Paths that no mark in the file can bring back."""
+    return matches_globs(path, globs)

@@ -1,9 +1,12 @@
-"""Vector arithmetic in double precision, and the 64-bit fingerprint of a text."""
+"""Vector arithmetic in double precision, and vectors as bytes."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,11 +37,16 @@ def stub_embedding(text: Column, dim: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: byte(i) / 127.5 - 1)
 
 
-def shingle_hashes(text: Column, width: int = 4) -> Column:
-    """64-bit hashes (first half of the MD5) of the character shingles of the text's lowered word characters."""
-    s = F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0)), "")
-    last = F.greatest(F.length(s) - width + 1, F.lit(1))
-    return F.transform(F.sequence(F.lit(1), last), lambda i: F.conv(F.substring(F.md5(F.substring(s, i, F.lit(width))), 1, 16), 16, -10).cast("long"))
+@F.pandas_udf(T.BinaryType())
+def to_bytes(v: pd.Series) -> pd.Series:
+    """32-bit floats, little-endian; null for a null vector."""
+    return v.map(lambda x: None if x is None else np.asarray(x, dtype="<f4").tobytes())
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def from_bytes(v: pd.Series) -> pd.Series:
+    """The vector of such bytes; null for null bytes and for a length that isn't a multiple of four."""
+    return v.map(lambda x: None if x is None or len(x) % 4 else np.frombuffer(x, dtype="<f4"))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -55,7 +55,7 @@ def _noise(sym: Column) -> Column:
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """``doc, line_no, section, claim_type, subject, confidence, claim_id`` of documents (``doc, text``).
+    """``doc, line_no, line, section, claim_type, subject, confidence, claim_id`` of documents (``doc, text``).
 
     At most one claim a line: the first rule that finds one decides, then its first match. All rules are evaluated as
     expressions of the line; the line is the only thing kept apart."""
@@ -79,15 +79,14 @@ def extract(docs: DataFrame) -> DataFrame:
         kind = F.when(s.isNotNull(), name).otherwise(kind)
     conf = F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])
     cid = F.concat(F.lit("claim_"), F.substring(F.sha2(F.concat_ws(":", F.col("doc").cast("string"), F.col("line_no").cast("string"), F.trim(line)), 256), 1, 16))
-    out = ln.select("doc", "line_no", "section", kind.alias("claim_type"), F.coalesce(*subjects).alias("subject"), cid.alias("claim_id"))
+    out = ln.select("doc", "line_no", "line", "section", kind.alias("claim_type"), F.coalesce(*subjects).alias("subject"), cid.alias("claim_id"))
     return out.where("claim_type is not null").withColumn("confidence", conf[F.col("claim_type")])
 
 
 def verify(claims: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """``claim_id, claim_type, verdict, confidence``: symbols (``name``) and file paths (``path``) of the repository.
 
-    Symbols are looked up exactly, then by their last part, then without case, then in snake form; files as they are,
-    then as a folder. Each step is an equi join on a key made beforehand, so no pair is compared that has no key in
+    Symbols are looked up exactly, then by their last part, then without case; files as they are, then as a folder. Each step is an equi join on a key made beforehand, so no pair is compared that has no key in
     common. Claims of other types can't be verified here."""
     last = lambda c: F.regexp_extract(F.regexp_replace(c, r"\(\)$", ""), r"([^.]+)$", 1)
     sy = claims.where("claim_type = 'symbol_exists'").select("claim_id", "claim_type", F.regexp_replace("subject", r"\(\)$", "").alias("s"))

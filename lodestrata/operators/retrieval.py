@@ -7,8 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import excerpt, preview
-from lodestrata.functions.vectors import l2_squared
+from lodestrata.functions.text import excerpt, preview, trigrams
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -17,20 +16,43 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def counted_terms(chunks: DataFrame, words: list[str]) -> DataFrame:
+    """``chunk_id, len, counts``: how often each of the words occurs, counted in a chunk's own row; what is shuffled to tell copies
+    of a chunk holds no text."""
+    t = chunks.where("text is not null").select("chunk_id", terms(F.col("text")).alias("t"))
+    asked = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+    of = F.filter("t", lambda x: F.array_contains(asked, x))
+    hits = t.select("chunk_id", F.size("t").alias("len"), of.alias("t"))
+    counts = F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), F.size(F.filter(F.col("t"), lambda x: x == w)).cast("long").alias("tf")))
+    return hits.select("chunk_id", "len", counts.alias("counts")).dropDuplicates(["chunk_id"])
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """``term, chunk_id, tf, len``; terms are combined within a task before they are shuffled."""
-    t = chunks.where("text is not null").select("chunk_id", terms(F.col("text")).alias("t"))
+    t = chunks.where("text is not null").select("chunk_id", terms(F.col("text")).alias("t")).dropDuplicates(["chunk_id"])
     return t.select("chunk_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("term", "chunk_id", "len").agg(F.count("*").alias("tf"))
 
 
+#: Distinct words of a table of queries up to which they are picked out of the texts by a list; beyond it by a join.
+MOST_WORDS = 1000
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
-    """``query_id, chunk_id, score`` of chunks that hold all terms of a query (``query_id, query``); greater is better.
+    """``query_id, chunk_id, score`` of chunks that hold all terms of a query (``query_id, query``); greater is better. Rows of one
+    chunk_id count once.
 
-    Only postings of queried terms are built: the terms, as many as the queries have, are joined before the counting."""
+    Where the queries have no more than ``MOST_WORDS`` distinct words, only these are taken from the texts; otherwise all
+    words are counted and joined with those asked for."""
     q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     n_terms = q.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    size = chunks.where("text is not null").agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col("text")))).alias("avg_len"))
-    p = postings(chunks).join(q.select("term").distinct(), "term", "left_semi")
+    words = [r["term"] for r in q.select("term").distinct().limit(MOST_WORDS + 1).collect()]
+    if len(words) <= MOST_WORDS:
+        rows = counted_terms(chunks, sorted(words))
+        size = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+        p = rows.select("chunk_id", "len", F.inline("counts"))
+    else:
+        size = chunks.where("text is not null").select("chunk_id", F.size(terms(F.col("text"))).alias("len")).dropDuplicates(["chunk_id"]).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+        p = postings(chunks).join(q.select("term").distinct(), "term", "left_semi")
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     # the sizes are one row
     hits = q.join(p, "term").join(df, "term").crossJoin(F.broadcast(size))
@@ -46,18 +68,9 @@ def top(scored: DataFrame, n: int, *, order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def nearest_chunks(vectors: DataFrame, queries: DataFrame, n: int, *, dim: int) -> DataFrame:
-    """``query_id, chunk_id, distance, rank``: exact nearest vectors by Euclidean distance. ``queries`` (``query_id, vec``)
-    is a small stated set: it is broadcast if Spark finds it below its threshold, else joined in blocks."""
-    v = vectors.where(F.size("embedding") == dim).select("chunk_id", "embedding")
-    q = queries.where(F.size("vec") == dim).select("query_id", "vec")
-    d = F.round(F.sqrt(l2_squared(F.col("embedding"), F.col("vec"))), 6)
-    return top(v.join(q, F.lit(True)).select("query_id", "chunk_id", d.alias("distance")), n, order=F.col("distance").asc())
-
-
-def _block_top(items: pd.DataFrame, queries: pd.DataFrame, n: int) -> pd.DataFrame:
+def _block_top(items: pd.DataFrame, queries: pd.DataFrame, n: int, cosine: bool) -> pd.DataFrame:
     """The n nearest of a block's items for each of its queries, and all that tie with the last of them after rounding."""
-    parts = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})]
+    parts = [pd.DataFrame({"query_id": pd.Series(dtype=object), "chunk_id": pd.Series(dtype=object), "distance": pd.Series(dtype="float64")})]
     if len(items) and len(queries):
         x, y = np.stack(items["embedding"].to_numpy()).astype(np.float64), np.stack(queries["vec"].to_numpy()).astype(np.float64)
         ids, qs = items["chunk_id"].to_numpy(), queries["query_id"].to_numpy()
@@ -68,21 +81,24 @@ def _block_top(items: pd.DataFrame, queries: pd.DataFrame, n: int) -> pd.DataFra
             bar = np.partition(near, min(n, len(x)) - 1, axis=1)[:, min(n, len(x)) - 1]
             # vectors that all but coincide are where the fast form is least exact
             a, b = np.nonzero(near <= (bar + 1e-4 * (1 + bar))[:, None])
-            parts.append(pd.DataFrame({"query_id": qs[at : at + 128][a], "chunk_id": ids[b], "distance": np.sqrt(((x[b] - z[a]) ** 2).sum(1))}))
+            far = 1 - (x[b] * z[a]).sum(1) if cosine else np.sqrt(((x[b] - z[a]) ** 2).sum(1))
+            parts.append(pd.DataFrame({"query_id": qs[at : at + 128][a], "chunk_id": ids[b], "distance": far}))
     return pd.concat(parts[1:] or parts)
 
 
-def nearest_in_blocks(vectors: DataFrame, queries: DataFrame, n: int, *, dim: int, block: int = 10_000) -> DataFrame:
-    """``nearest_chunks`` for queries that are many: blocks of queries against blocks of vectors, exact as well. Vectors
-    that are null or hold nulls take no part."""
+def nearest_in_blocks(vectors: DataFrame, queries: DataFrame, n: int, *, dim: int, block: int = 10_000, cosine: bool = False) -> DataFrame:
+    """``query_id, chunk_id, distance, rank``: exact nearest vectors (``chunk_id, embedding``) by Euclidean distance of a stated set
+    of queries (``query_id, vec``), by blocks of queries against blocks of vectors; with ``cosine`` all are unit vectors and the distance
+    is 1 less their product. Vectors that are null, of another length or hold nulls take no part."""
     ok = lambda c: (F.size(c) == dim) & F.forall(c, lambda x: x.isNotNull())
-    v = vectors.where(ok("embedding")).select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
-    q = queries.where(ok("vec")).select(F.col("query_id").cast("long").alias("query_id"), "vec")
+    v = vectors.where(ok("embedding")).select("chunk_id", "embedding")
+    q = queries.where(ok("vec")).select("query_id", "vec")
+    kq, kc = (df.schema[c].dataType.simpleString() for df, c in ((q, "query_id"), (v, "chunk_id")))
     bi, bq = max(1, -(-v.count() // block)), max(1, -(-q.count() // block))
     bi = max(bi, -(-v.sparkSession.sparkContext.defaultParallelism // bq))
     items = v.withColumn("i", F.pmod(F.xxhash64("chunk_id"), F.lit(bi)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
     asked = q.withColumn("j", F.pmod(F.xxhash64("query_id"), F.lit(bq)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(bi - 1))))
-    found = items.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInPandas(lambda a, b: _block_top(a, b, n), "query_id long, chunk_id long, distance double")
+    found = items.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInPandas(lambda a, b: _block_top(a, b, n, cosine), f"query_id {kq}, chunk_id {kc}, distance double")
     return top(found.select("query_id", "chunk_id", F.round("distance", 6).alias("distance")), n, order=F.col("distance").asc())
 
 
@@ -115,10 +131,9 @@ def search(chunks: DataFrame, vectors: DataFrame, anchors: DataFrame, queries: D
         a = a.where(F.col("path").rlike(path_regex))
     if not tests:
         a = a.where(~F.col("is_test"))
-    one = chunks.dropDuplicates(["chunk_id"])
-    scoped = one.join(a.select("parent_id"), "parent_id", "left_semi")
-    words = top(bm25(one, queries), pool, order=F.col("score").desc())
-    near = nearest_chunks(vectors, queries, pool, dim=dim)
+    scoped = chunks.select("chunk_id", "parent_id").dropDuplicates(["chunk_id"]).join(a.select("parent_id"), "parent_id", "left_semi")
+    words = top(bm25(chunks, queries), pool, order=F.col("score").desc())
+    near = nearest_in_blocks(vectors, queries, pool, dim=dim)
     fused = fuse([("vec", best_per_parent(near, scoped)), ("bm25", best_per_parent(words, scoped))])
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "parent_id")
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).withColumnRenamed("parent_id", "anchor_id")
@@ -135,9 +150,19 @@ def packets(found: DataFrame, chunks: DataFrame, anchors: DataFrame) -> DataFram
 
 
 def did_you_mean(anchors: DataFrame, queries: DataFrame, most: int = 3) -> DataFrame:
-    """``query_id, anchor_id``: the first anchors whose name or path holds a query's word of three letters or more."""
-    q = queries.select("query_id", F.explode(F.array_distinct(F.filter(terms(F.col("query")), lambda t: F.length(t) >= 3))).alias("t"))
-    a = anchors.select(F.col("id").alias("anchor_id"), F.lower(F.concat_ws(" ", "symbol_name", "path")).alias("of"))
-    hits = a.join(q, F.contains(F.col("of"), F.col("t"))).select("query_id", "anchor_id").distinct()
+    """``query_id, anchor_id``: the first anchors whose name or path holds a query's word of three letters or more.
+
+    A word and a name are compared only if they share the word's first trigram, by an equi join; of a hot trigram nothing is
+    lost, as the join is split by Spark where it is skewed. Anchors' trigrams are kept only if a query asks for them."""
+    q = queries.select("query_id", F.explode(F.array_distinct(F.filter(terms(F.col("query")), lambda t: F.length(t) >= 3))).alias("t")).withColumn("g", F.substring("t", 1, 3))
+    grams = [r["g"] for r in q.select("g").distinct().limit(MOST_WORDS + 1).collect()]
+    low = F.lower(F.concat_ws(" ", "symbol_name", "path"))
+    a = anchors.select(F.col("id").alias("anchor_id"), low.alias("of"))
+    if len(grams) <= MOST_WORDS:
+        some = F.filter(F.array(*[F.lit(g) for g in sorted(grams)]) if grams else F.array().cast("array<string>"), lambda g: F.contains(F.col("of"), g))
+        keyed = a.select("anchor_id", "of", F.explode(some).alias("g"))
+    else:
+        keyed = a.select("anchor_id", "of", F.explode(trigrams(F.col("of"))).alias("g"))
+    hits = keyed.join(q, "g").where(F.contains(F.col("of"), F.col("t"))).select("query_id", "anchor_id").distinct()
     w = Window.partitionBy("query_id").orderBy("anchor_id")
     return hits.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")

@@ -15,11 +15,36 @@ def unlinked(pairs: DataFrame, live: DataFrame) -> DataFrame:
     return p.join(have, ["_x", "_y"], "left_anti").drop("_x", "_y")
 
 
+def similar_opposites(anchors: DataFrame, asked: DataFrame, *, dim: int, k: int = 5) -> DataFrame:
+    """``a, b, similarity``: for every anchor of ``asked`` the k most similar of the other kind (code, or anything else), by cosine of
+    their overview vectors, ties by id. ``asked`` is a stated set, compared with all others in blocks, exactly; vectors that are
+    null, all zero, not finite or of another length take no part."""
+    from lodestrata.operators.retrieval import nearest_in_blocks
+
+    v = F.col("overview_embedding")
+    size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = F.transform(v, lambda x: x.cast("double") / size)
+    ok = (F.size(v) == dim) & (size > 0) & (size < float("inf"))
+    rows = lambda df: df.where(ok).select("id", (F.col("anchor_type") == "code").alias("code"), unit.alias("u"))
+    out = None
+    for code in (True, False):
+        q = rows(asked).where(F.col("code") == code).select(F.col("id").alias("query_id"), F.col("u").alias("vec"))
+        x = rows(anchors).where(F.col("code") != code).select(F.col("id").alias("chunk_id"), F.col("u").alias("embedding"))
+        near = nearest_in_blocks(x, q, k, dim=dim, cosine=True)
+        out = near if out is None else out.unionByName(near)
+    return out.select(F.col("query_id").alias("a"), F.col("chunk_id").alias("b"), (1 - F.col("distance")).alias("similarity"))
+
+
+def unordered(near: DataFrame) -> DataFrame:
+    """Each unordered pair once, with its greatest similarity."""
+    return near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.round(F.max("similarity"), 6).alias("similarity"))
+
+
 def candidate_pairs(near: DataFrame, anchors: DataFrame, live: DataFrame, *, most: int | None = None) -> DataFrame:
     """``a, b, similarity``: similar sections and code without a link, the first ``most`` if a cap is asked for. ``near`` (a, b,
     similarity) comes from a search; each unordered pair counts once."""
     kinds = anchors.select("id", "anchor_type")
-    p = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("similarity").alias("similarity"))
+    p = unordered(near)
     p = p.join(kinds.select(F.col("id").alias("a"), F.col("anchor_type").alias("ta")), "a").join(kinds.select(F.col("id").alias("b"), F.col("anchor_type").alias("tb")), "b")
     p = unlinked(p.where("(ta = 'section') <> (tb = 'section')"), live).select("a", "b", "similarity")
     return p if most is None else p.orderBy(F.desc("similarity"), "a", "b").limit(most)

@@ -32,7 +32,10 @@ def symbols_and_files(claims: DataFrame, repo: dict[str, DataFrame]) -> DataFram
 
 
 # Capitals that are known terms and need no variable.
-KNOWN_TERMS = ["README", "CHANGELOG", "LICENSE", "UTF", "ASCII", "REST", "RFC", "UTC"]
+KNOWN_TERMS = """ENTRYPOINT WORKDIR EXPOSE VOLUME STOPSIGNAL HEALTHCHECK ONBUILD MAINTAINER LABEL COPY ADD STARTING STOPPING
+DESTROYING PROVISIONING UNTRUSTED_AGENT UNTRUSTED_GRADING TRUSTED_INTERNAL SHARED CONTAINER LOCALHOST EMPTYDIR""".split()
+#: Places of evidence that are shown.
+MOST_EVIDENCE = 5
 
 
 @verifier("env_var_name")
@@ -51,16 +54,73 @@ def variables(claims: DataFrame, repo: dict[str, DataFrame]) -> DataFrame:
     return j.select("claim_id", "claim_type", out.alias("r")).select("claim_id", "claim_type", "r.*")
 
 
+@verifier("numeric_value")
+def numbers(claims: DataFrame, repo: dict[str, DataFrame]) -> DataFrame:
+    """A number that stands in quotes in code is confirmed; others can't be verified, as no index of words holds them. Whole
+    numbers are looked up without a fraction."""
+    words = repo["strings"].select(F.col("value").alias("v"), F.lit(True).alias("hit")).distinct()
+    n = F.col("subject").cast("double")
+    v = F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(F.col("subject"))
+    r = F.when(F.col("hit"), verdict("confirmed", 0.7)).otherwise(verdict("unverifiable", 0.3))
+    return claims.select("claim_id", "claim_type", v.alias("v")).join(words, "v", "left").select("claim_id", "claim_type", r.alias("r")).select("claim_id", "claim_type", "r.*")
+
+
+def _first_enum(claims: DataFrame, enums: DataFrame) -> DataFrame:
+    """``claim_id, members`` of the first enum, by path and place in it, whose name holds the claim's noun or stands in its text or
+    section. The enums' names, which are few (one row a name), are matched as they are: a name within a text is no key."""
+    e = enums.groupBy("name").agg(F.min_by("members", "path").alias("members"), F.struct(F.min("path").alias("path"), F.first("name").alias("name")).alias("k"))
+    noun = F.lower(F.regexp_extract("subject", r"^\d+\s+(\w+)$", 1))
+    said = F.lower(F.concat_ws("\n", "line", "section"))
+    c = claims.select("claim_id", F.lower(F.coalesce(noun, F.lit(""))).alias("noun"), said.alias("said"))
+    low = F.lower(F.col("name"))
+    hit = c.join(e, ((F.col("noun") != "") & F.contains(low, F.col("noun"))) | F.contains(F.col("said"), low))
+    return hit.groupBy("claim_id").agg(F.min_by("members", "k").alias("members"), F.min_by("name", "k").alias("enum"))
+
+
+def _with_context(claims: DataFrame) -> DataFrame:
+    for c in ("line", "section"):
+        if c not in claims.columns:
+            claims = claims.withColumn(c, F.lit(None).cast("string"))
+    return claims
+
+
 @verifier("enum_count")
 def enum_counts(claims: DataFrame, repo: dict[str, DataFrame]) -> DataFrame:
-    """The number claimed against the members of the first enum whose name is the noun or holds it, names being joined by
-    their words; claims without such an enum can't be verified."""
-    noun = F.lower(F.regexp_replace(F.regexp_extract("subject", r"^\d+\s+(\w+)$", 1), "s$", ""))
-    c = claims.select("claim_id", "claim_type", F.regexp_extract("subject", r"^(\d+)", 1).cast("long").alias("n"), noun.alias("w"))
-    enums = repo["enums"].select("name", F.size("members").alias("m"), F.explode(F.array_distinct(F.transform(F.split(F.regexp_replace("name", r"(?<=[a-z0-9])(?=[A-Z])|_+", " "), " +"), F.lower))).alias("w"))
-    first = enums.withColumn("k", F.row_number().over(Window.partitionBy("w").orderBy("name"))).where("k = 1").select("w", "m")
-    r = F.when(F.col("m").isNull(), verdict("unverifiable", 0.0)).when(F.col("m") == F.col("n"), verdict("confirmed", 0.9)).otherwise(verdict("contradicted", 0.8))
-    return c.join(first, "w", "left").select("claim_id", "claim_type", r.alias("r")).select("claim_id", "claim_type", "r.*")
+    """The number claimed against the members of the enum that the claim is about; without one it can't be verified."""
+    c = _with_context(claims)
+    n = F.regexp_extract("subject", r"^(\d+)", 1).cast("long")
+    m = F.size("members")
+    r = F.when(F.col("members").isNull(), verdict("unverifiable", 0.3)).when(m == n, verdict("confirmed", 0.95)).otherwise(verdict("contradicted", 0.9))
+    return c.join(_first_enum(c, repo["enums"]), "claim_id", "left").select("claim_id", "claim_type", r.alias("r")).select("claim_id", "claim_type", "r.*")
+
+
+@verifier("enum_members")
+def enum_members(claims: DataFrame, repo: dict[str, DataFrame]) -> DataFrame:
+    """Members claimed (``members``, of the enum ``subject``) against the first enum whose name holds the subject: all of them must
+    be there; what it has besides doesn't matter. ``member_differences`` tells both differences."""
+    d = member_differences(claims, repo["enums"])
+    r = F.when(F.col("enum").isNull(), verdict("unverifiable", 0.0)).when(F.size("missing") == 0, verdict("confirmed", 0.95)).otherwise(verdict("contradicted", 0.9))
+    return claims.select("claim_id", "claim_type").join(d, "claim_id", "left").select("claim_id", "claim_type", r.alias("r")).select("claim_id", "claim_type", "r.*")
+
+
+def member_differences(claims: DataFrame, enums: DataFrame) -> DataFrame:
+    """``claim_id, enum, missing, extra`` of claims about an enum's members, both differences sorted."""
+    if "members" not in claims.columns:
+        claims = claims.withColumn("members", F.array().cast("array<string>"))
+    e = enums.select(F.col("name").alias("enum"), F.col("members").alias("have"), F.struct("path", "name").alias("k"))
+    c = claims.select("claim_id", F.lower(F.coalesce("subject", F.lit(""))).alias("of"), "members")
+    one = c.join(e, F.contains(F.lower("enum"), F.col("of"))).groupBy("claim_id").agg(F.min_by(F.struct("enum", "have", "members"), "k").alias("r")).select("claim_id", "r.*")
+    diff = lambda x, y: F.array_sort(F.array_except(x, y))
+    return one.select("claim_id", "enum", diff(F.col("members"), F.col("have")).alias("missing"), diff(F.col("have"), F.col("members")).alias("extra"))
+
+
+def evidence(claims: DataFrame, repo: dict[str, DataFrame], most: int = MOST_EVIDENCE) -> DataFrame:
+    """``claim_id, place, path``: the first files, by path, that hold a claim's word in quotes. Of each word no more than ``most`` files
+    are kept before they are joined with claims, so a word in all files is no hot key."""
+    w = Window.partitionBy("value").orderBy("path")
+    files = repo["strings"].select("value", "path").distinct().withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    c = claims.select("claim_id", F.regexp_replace("subject", r"\(\)$", "").alias("value"))
+    return c.join(files, "value").select("claim_id", "place", "path")
 
 
 @verifier("route_path")
@@ -79,9 +139,9 @@ def routes(claims: DataFrame, repo: dict[str, DataFrame]) -> DataFrame:
 
 
 def verify_all(claims: DataFrame, repo: dict[str, DataFrame]) -> DataFrame:
-    """``claim_id, claim_type, verdict, confidence`` of all claims by the registered verifiers; types without one, and numbers,
-    which no index of words can hold, are unverifiable. ``repo`` has symbols (name), files (path), strings (value, path),
-    enums (name, members) and routes (route)."""
+    """``claim_id, claim_type, verdict, confidence`` of all claims by the registered verifiers; types without one are
+    unverifiable. ``repo`` has symbols (name), files (path), strings (value, path), enums (path, name, members) and routes
+    (route)."""
     out = claims.where(~F.col("claim_type").isin(list(REGISTRY))).select("claim_id", "claim_type", F.lit("unverifiable").alias("verdict"), F.lit(0.0).alias("confidence"))
     for f in dict.fromkeys(REGISTRY.values()):
         out = out.unionByName(f(claims.where(F.col("claim_type").isin([t for t, g in REGISTRY.items() if g is f])), repo))

@@ -116,12 +116,12 @@ def vector_norms(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(
-    f"""WITH v AS ({_V}), q AS (SELECT chunk_id AS query_id, e AS qe FROM v WHERE chunk_id % 500 = 0)
+    f"""WITH v AS ({_V}), q AS (SELECT chunk_id AS query_id, e AS qe FROM v WHERE chunk_id % 20 = 0)
     SELECT query_id, chunk_id, distance, rank FROM (SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank
       FROM (SELECT query_id, chunk_id, round(list_distance(e, qe), 6) AS distance FROM v, q)) WHERE rank <= 10"""
 )
 def nearest_chunks(spark: SparkSession, root: str) -> DataFrame:
-    """The stated query set (every id divisible by 20) against all vectors; the SQL has every id divisible by 500 only."""
+    """The stated query set (every id divisible by 20) against all vectors."""
     v = table(spark, root, "chunks_vec").where(F.size("embedding") == 64).distinct()
     q = v.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vec"))
     return R.nearest_in_blocks(v, q, 10, dim=64)
@@ -345,16 +345,16 @@ _REACH = """WITH RECURSIVE e AS MATERIALIZED {0}, r AS (SELECT src AS root, dst
     SELECT root, node, min(depth) AS depth FROM r WHERE root <> node GROUP BY root, node"""
 
 
-@query(_REACH.format(_EDGES, 6))
+@query(_REACH.format(_EDGES, G.MAX_DEPTH))
 def call_closure(spark: SparkSession, root: str) -> DataFrame:
-    """Over at most ``G.MAX_DEPTH`` edges; the SQL stops after 6."""
+    """Over at most ``G.MAX_DEPTH`` edges."""
     e = _edges(spark, root)
     return G.closure(e, e.select(F.col("src").alias("id")))
 
 
-@query(f"WITH x AS ({_REACH.format(_EDGES, 6)}) SELECT root, count(*) AS n_nodes, 'sha256:' || sha256(unhex(string_agg(d, '' ORDER BY d))) AS closure_hash FROM (SELECT root, lower(right(content_hash, 64)) AS d FROM x JOIN anchors a ON a.id = x.node) GROUP BY root")
+@query(f"WITH x AS ({_REACH.format(_EDGES, G.MAX_DEPTH)}) SELECT root, count(*) AS n_nodes, 'sha256:' || sha256(unhex(string_agg(d, '' ORDER BY d))) AS closure_hash FROM (SELECT root, lower(right(content_hash, 64)) AS d FROM x JOIN anchors a ON a.id = x.node) GROUP BY root")
 def closure_hashes(spark: SparkSession, root: str) -> DataFrame:
-    """Over the whole closure; the SQL's is cut after 6 edges."""
+    """Over the whole closure."""
     return G.closure_hashes(call_closure(spark, root), table(spark, root, "anchors"))
 
 
@@ -400,7 +400,7 @@ def _chunks(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"SELECT query_id, chunk_id, score FROM {_BM25}")
 def bm25(spark: SparkSession, root: str) -> DataFrame:
-    return R.bm25(_chunks(spark, root), _word_queries(spark))
+    return R.bm25(table(spark, root, "chunks"), _word_queries(spark))
 
 
 _BEST = f"""(SELECT query_id, parent_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank, chunk_id) AS n FROM (
@@ -409,7 +409,7 @@ _BEST = f"""(SELECT query_id, parent_id, chunk_id, row_number() OVER (PARTITION
 
 @query(f"SELECT query_id, parent_id, chunk_id, place FROM {_BEST}")
 def best_chunk_per_anchor(spark: SparkSession, root: str) -> DataFrame:
-    c = _chunks(spark, root)
+    c = table(spark, root, "chunks")
     return R.best_per_parent(R.top(R.bm25(c, _word_queries(spark)), 200, order=F.col("score").desc()), c)
 
 
@@ -431,7 +431,7 @@ def _search_queries(spark: SparkSession, root: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, root: str) -> DataFrame:
     q = _search_queries(spark, root)
     v = table(spark, root, "chunks_vec").where(F.size("embedding") == 64).distinct()
-    return R.search(_chunks(spark, root), v, table(spark, root, "anchors"), q, top_k=10, dim=64, types=["section", "code"], tests=False)
+    return R.search(table(spark, root, "chunks"), v, table(spark, root, "anchors"), q, top_k=10, dim=64, types=["section", "code"], tests=False)
 
 
 @query()

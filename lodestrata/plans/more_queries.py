@@ -12,6 +12,7 @@ from lodestrata.operators import claims as C
 from lodestrata.operators import extraction as E
 from lodestrata.operators import incremental as I
 from lodestrata.operators import links as L
+from lodestrata.operators import lookup as K
 from lodestrata.operators import suggest as S
 from lodestrata.operators import verifiers as VR
 from lodestrata.plans.index_queries import _ACTIVE, _LINES, _log
@@ -53,7 +54,7 @@ def claim_verdicts(spark: SparkSession, root: str) -> DataFrame:
     """All verifiers against what code anchors hold."""
     a = table(spark, root, "anchors")
     repo = VR.repository_index(a.where("anchor_type = 'code'").select("path", F.col("content_text").alias("text")))
-    repo |= {"symbols": a.select(F.col("symbol_name").alias("name")), "enums": spark.createDataFrame([], "name string, members array<string>"), "files": a.select("path")}
+    repo |= {"symbols": a.select(F.col("symbol_name").alias("name")), "enums": K.enums(a.where("anchor_type = 'code'").select("path", F.col("content_text").alias("text"))), "files": a.select("path")}
     c = C.extract(table(spark, root, "documents").select(F.col("doc_id").alias("doc"), "text"))
     return VR.verify_all(c, repo)
 
@@ -164,7 +165,7 @@ def cosine_to_first(spark: SparkSession, root: str) -> DataFrame:
     return ok.crossJoin(F.broadcast(one)).select("chunk_id", F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
 
 
-@query()
+@query("SELECT DISTINCT chunk_id, CASE WHEN text IS NULL AND chunk_id NOT IN (SELECT chunk_id FROM chunks_vec WHERE len(embedding) = 64) THEN NULL ELSE 64 END AS dim FROM chunks")
 def reembedded(spark: SparkSession, root: str) -> DataFrame:
     """Vectors of all chunks by the stub model where the stored one is of another length."""
     out = P.reembed(table(spark, root, "chunks"), table(spark, root, "chunks_vec"), P.StubEmbedder(64))

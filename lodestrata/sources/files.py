@@ -79,4 +79,4 @@ def annotations(verdicts: DataFrame, claims: DataFrame) -> DataFrame:
 def summary_table(verdicts: DataFrame) -> DataFrame:
     """Rows of a Markdown table of verdicts by claim type."""
     g = verdicts.groupBy("claim_type", "verdict").agg(F.count("*").alias("n"))
-    return g.select("claim_type", "verdict", F.concat_ws(" | ", F.lit("|"), "claim_type", "verdict", F.col("n").cast("string"), F.lit("|")).alias("row"))
+    return g.select("claim_type", "verdict", F.concat(F.lit("| "), F.concat_ws(" | ", "claim_type", "verdict", F.col("n").cast("string")), F.lit(" |")).alias("row"))
