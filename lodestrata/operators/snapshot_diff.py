@@ -4,17 +4,19 @@ Rows of every snapshot are sorted by key and cut into content-defined chunks: a
 is a multiple of ``chunk_rows``, so an insertion moves no boundary but its own. A chunk whose digest also occurs in
 the neighbouring snapshot is discarded; only rows of chunks without a counterpart are joined by key and classified.
 
-Shuffles: one hash shuffle that keeps one row per (snapshot, key), combined map-side, so repeats of one row cost
-nothing; one range shuffle by (series, key), which splits a hot series over many tasks and puts all versions of a key
-into one, so digests are compared without another shuffle; and one of the few rows left.
+Shuffles: one range shuffle by (series, key), which splits a hot series over many tasks and puts all versions of a key
+into one, so that rows of one key are told apart, chunks cut and digests compared without another; and one of the few
+rows left. Repeats of a row are dropped batch by batch before it, so a row given very often is no hot key. Rows are hashed
+in the JVM; a digest is the sum of two 64-bit hashes of its rows, made for all chunks of a snapshot at once.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,56 +37,92 @@ def ordered_runs(runs: DataFrame, *, run_id: str, series: list[str], order_by: s
     return one.select("_run", F.first("_run").over(w).alias("_series"), F.row_number().over(w).alias("_seq"), F.lead("_run").over(w).alias("_next"))
 
 
-def _chunks(keys: list, values: list, ends: list) -> dict[bytes, list[tuple[int, int]]]:
-    """Digest to the row ranges of the key-sorted rows of one snapshot."""
-    out: dict[bytes, list[tuple[int, int]]] = {}
-    start, n = 0, len(keys)
-    for i in range(n):
-        if ends[i] or i == n - 1:
-            h = hashlib.blake2b(digest_size=16)
-            for k, v in zip(keys[start : i + 1], values[start : i + 1]):
-                k = k.encode("utf-8", "surrogatepass")
-                h.update(len(k).to_bytes(4, "little") + k + (b"\0" if v is None else b"\1" + len(v).to_bytes(4, "little") + v.encode("utf-8", "surrogatepass")))
-            out.setdefault(h.digest(), []).append((start, i + 1))
-            start = i + 1
-    return out
+def _fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows of a batch that have one run and key, the one with the greatest version, then the greatest value."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        d = b.select(["_run", "_key"]).to_pandas()
+        again = d.duplicated(keep=False).to_numpy()
+        if not again.any():
+            yield b
+            continue
+        some = b.filter(pa.array(again))
+        first = pc.sort_indices(some, [("_run", "ascending"), ("_key", "ascending"), ("_ver", "descending"), ("_value", "descending")], null_placement="at_end")
+        some = some.take(first)
+        kept = ~some.select(["_run", "_key"]).to_pandas().duplicated().to_numpy()
+        yield from (b.filter(pa.array(~again)), some.filter(pa.array(kept)))
+
+
+def _chunks(h1: np.ndarray, h2: np.ndarray, ends: np.ndarray) -> tuple[list[tuple], np.ndarray]:
+    """Digest (sums of both hashes, and rows) and rows of every chunk of key-sorted rows."""
+    starts = np.append(0, np.flatnonzero(ends[:-1]) + 1)
+    sizes = np.diff(np.append(starts, len(ends)))
+    sums = (np.add.reduceat(h.view(np.uint64), starts) for h in (h1, h2))
+    return list(zip(*(x.tolist() for x in sums), sizes.tolist())), sizes
 
 
 class _Run:
-    def __init__(self, series: object, seq: int, run: object, nxt: object) -> None:
-        self.series, self.seq, self.run, self.next = series, seq, run, nxt
-        self.keys: list = []
-        self.values: list = []
-        self.ends: list = []
-        self.chunks: dict = {}
+    """The rows of one snapshot in one key range: by chunk their number and digest."""
+
+    def __init__(self, parts: list[pa.RecordBatch]) -> None:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        self.series, self.seq, self.run, self.next = (t[c][0].as_py() for c in ("_series", "_seq", "_run", "_next"))
+        self.keys, self.values = t["_key"], t["_value"]
+        self.digests, self.sizes = _chunks(*(t[c].to_numpy() for c in ("_h1", "_h2", "_end")))
+
+    def rows(self, unlike: set) -> tuple[pa.ChunkedArray, pa.ChunkedArray] | None:
+        """Keys and values of the chunks whose digest isn't in ``unlike``."""
+        keep = np.array([d not in unlike for d in self.digests], dtype=bool)
+        if not keep.any():
+            return None
+        mask = pa.array(np.repeat(keep, self.sizes))
+        return self.keys.filter(mask), self.values.filter(mask)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Run]:
+    """Snapshots in turn, from batches sorted by (_series, _seq, _key)."""
+    parts: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        run = b.column(b.schema.get_field_index("_run"))
+        code = pc.dictionary_encode(run).indices.to_numpy()
+        cuts = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), b.num_rows]
+        for x, y in zip(cuts, cuts[1:]):
+            now = run[x].as_py()
+            if parts and now != last:
+                yield _Run(parts)
+                parts = []
+            parts.append(b.slice(x, y - x))
+            last = now
+    if parts:
+        yield _Run(parts)
 
 
 def _unmatched(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by (_series, _seq, _key); holds two snapshots' rows of one key range at a time."""
-    out: dict[str, list] = {"_run": [], "_key": [], "_new": [], "_value": []}
+    """Rows of chunks without a counterpart; holds two snapshots' rows of one key range at a time."""
+    out: list[pa.Table] = []
+    held = 0
 
-    def put(run: object, new: bool, src: _Run, spans: list[tuple[int, int]]) -> None:
-        for a, b in spans:
-            out["_key"] += src.keys[a:b]
-            out["_value"] += src.values[a:b]
-            out["_run"] += [run] * (b - a)
-            out["_new"] += [new] * (b - a)
+    def put(run: object, new: bool, rows: tuple[pa.ChunkedArray, pa.ChunkedArray] | None) -> None:
+        nonlocal held
+        if rows is not None:
+            n = len(rows[0])
+            out.append(pa.table([pa.array([run] * n, type=schema.field("_run").type), rows[0].cast(pa.string()), pa.array(np.full(n, new)), rows[1].cast(pa.string())], schema=schema))
+            held += n
 
     def compare(old: _Run | None, new: _Run | None) -> None:
         """The two runs' rows in this key range; either may have none here."""
-        a, b = old.chunks if old else {}, new.chunks if new else {}
         later = new.run if new else old.next
         if old:
-            for d, spans in a.items():
-                if d not in b:
-                    put(later, False, old, spans)
+            put(later, False, old.rows(set(new.digests) if new else set()))
         if new:
-            for d, spans in b.items():
-                if d not in a:
-                    put(later, True, new, spans)
+            put(later, True, new.rows(set(old.digests) if old else set()))
 
-    def close(prev: _Run | None, cur: _Run) -> None:
-        cur.chunks = _chunks(cur.keys, cur.values, cur.ends)
+    prev: _Run | None = None
+    for cur in _runs(batches):
         adjacent = prev is not None and prev.series == cur.series and prev.seq + 1 == cur.seq
         if prev is not None and not adjacent and prev.next is not None:
             compare(prev, None)
@@ -92,34 +130,14 @@ def _unmatched(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator
             compare(prev, cur)
         elif cur.seq > 1:
             compare(None, cur)
-
-    def flush() -> pa.RecordBatch:
-        b = pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
-        for v in out.values():
-            v.clear()
-        return b
-
-    prev: _Run | None = None
-    cur: _Run | None = None
-    for batch in batches:
-        cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_series", "_seq", "_run", "_next", "_key", "_value", "_end")]
-        for s, q, r, nx, k, v, e in zip(*cols):
-            if cur is None or cur.run != r or cur.series != s:
-                if cur is not None:
-                    close(prev, cur)
-                    prev = cur
-                cur = _Run(s, q, r, nx)
-            cur.keys.append(k)
-            cur.values.append(v)
-            cur.ends.append(e)
-        if len(out["_key"]) >= 10_000:
-            yield flush()
-    if cur is not None:
-        close(prev, cur)
-        if cur.next is not None:
-            compare(cur, None)
-    if out["_key"]:
-        yield flush()
+        prev = cur
+        if held >= 10_000:
+            yield from pa.concat_tables(out).combine_chunks().to_batches()
+            out, held = [], 0
+    if prev is not None and prev.next is not None:
+        compare(prev, None)
+    if held:
+        yield from pa.concat_tables(out).combine_chunks().to_batches()
 
 
 def snapshot_changes(
@@ -146,20 +164,16 @@ def snapshot_changes(
     rk = runs.schema[run_id].dataType
     ordered = ordered_runs(runs, run_id=run_id, series=series, order_by=order_by)
     ver: Column = F.col(version) if version else F.lit(0)
-    one = (
-        items.where(F.col(key).isNotNull() & F.col(run_id).isNotNull())
-        .select(F.col(run_id).cast(rk).alias("_run"), F.col(key).cast("string").alias("_key"), ver.alias("_ver"), F.col(value).cast("string").alias("_value"))
-        .groupBy("_run", "_key")
-        .agg(F.max(F.struct("_ver", "_value"))["_value"].alias("_value"))
-    )
-    placed = one.join(ordered, "_run").withColumn("_end", F.pmod(F.xxhash64("_key"), F.lit(chunk_rows)) == 0)
-    sorted_ = placed.repartitionByRange(F.col("_series"), F.col("_key")).sortWithinPartitions("_series", "_seq", "_key")
     from pyspark.sql.pandas.types import to_arrow_type
 
+    raw = items.where(F.col(key).isNotNull() & F.col(run_id).isNotNull()).select(F.col(run_id).cast(rk).alias("_run"), F.col(key).cast("string").alias("_key"), ver.alias("_ver"), F.col(value).cast("string").alias("_value"))
+    placed = raw.mapInArrow(_fewer, raw.schema).join(ordered, "_run").repartitionByRange(F.col("_series"), F.col("_key"))
+    # grouped by what they are partitioned by and more, and sorted by that: neither takes another shuffle or sort
+    by = ["_series", "_seq", "_run", "_next", "_key"]
+    one = placed.groupBy(*by).agg(F.max(F.struct("_ver", "_value"))["_value"].alias("_value")).sortWithinPartitions(*by)
+    hashed = one.select(*by, "_value", (F.pmod(F.xxhash64("_key"), F.lit(chunk_rows)) == 0).alias("_end"), F.xxhash64("_key", "_value").alias("_h1"), F.xxhash64(F.lit(1), "_key", "_value").alias("_h2"))
     schema = pa.schema([("_run", to_arrow_type(rk)), ("_key", pa.string()), ("_new", pa.bool_()), ("_value", pa.string())])
-    left = sorted_.select("_series", "_seq", "_run", "_next", "_key", "_value", "_end").mapInArrow(
-        lambda it: _unmatched(it, schema), f"_run {rk.simpleString()}, _key string, _new boolean, _value string"
-    )
+    left = hashed.mapInArrow(lambda it: _unmatched(it, schema), f"_run {rk.simpleString()}, _key string, _new boolean, _value string")
     both = left.groupBy("_run", "_key").agg(
         F.max(F.col("_new")).alias("in_new"),
         F.min(F.col("_new")).alias("only_new"),
