@@ -430,3 +430,95 @@ def functions(text: str, language: str) -> tuple[list[Function], str]:
     """The tree of named functions and the text their ranges point into (line ends as LF; Python may be dedented)."""
     text = text.replace("\r\n", "\n").replace("\r", "\n").lstrip("﻿")
     return _python(text) if language == "python" else _braced(text, language)
+
+
+# ---------------------------------------------------------------- declarations
+
+@dataclass
+class Declaration:
+    """A named function or type with its span and its header in one line."""
+
+    name: str
+    kind: str
+    start: int
+    end: int
+    signature: str
+
+
+def header(code: str, language: str) -> str:
+    """What stands before the body of a declaration: decorators, attributes and comments off, blanks joined."""
+    if language == "python":
+        at = re.search(r"(?m)^[ \t]*(?:async\s+def|def|class)\b", code)
+        code, stop = code[at.start() :] if at else code, ":"
+    else:
+        code, stop = re.sub(r"(?m)^\s*(?://|/\*|\*|@|#\[).*$", "", code), "{"
+    depth, i, quote = 0, 0, ""
+    while i < len(code):
+        c = code[i]
+        if quote:
+            i += c == "\\"
+            quote = "" if c == quote else quote
+        elif c in "\"'`" and not (language == "rust" and c == "'"):
+            quote = c
+        elif c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        elif depth == 0 and (c == stop or stop == "{" and (c == ";" or code.startswith("=>", i))):
+            break
+        i += 1
+    return " ".join(code[:i].split())
+
+
+def _python_types(source: str, trees: list[ast.Module]) -> list[Declaration]:
+    lines, starts = source.split("\n"), _line_starts(source)
+    out = []
+    for tree in trees:
+        for n in ast.walk(tree):
+            if isinstance(n, ast.ClassDef):
+                first = min([n, *n.decorator_list], key=lambda x: x.lineno)
+                a, b = _char_at(lines, starts, first.lineno, 0), _char_at(lines, starts, n.end_lineno, n.end_col_offset)
+                out.append(Declaration(n.name, "class", a, b, header(source[a:b], "python")))
+    return out
+
+
+# Words that begin the declaration of a type.
+_TYPES = {"typescript": {"class", "interface", "type", "enum"}, "go": {"type"}, "rust": {"struct", "enum", "trait", "union", "type"}, "zig": {"struct", "enum", "union", "opaque"}}
+
+
+def _braced_types(text: str, language: str) -> list[Declaration]:
+    b = _Braces(text, language)
+    out = []
+    for i in range(len(b.toks)):
+        w = b.word(i)
+        if w not in _TYPES[language] or b.is_(i - 1, ".", "::"):
+            continue
+        name, at, kind = b.word(i + 1), i, w
+        if language == "zig":  # const Name = [extern|packed] struct {
+            j = i - 1 - b.is_(i - 1, "extern", "packed")
+            if not (b.is_(j, "=") and b.word(j - 1) and b.is_(j - 2, "const", "var")):
+                continue
+            name, at = b.word(j - 1), j - 2
+        elif language == "go":
+            kind = b.word(i + 2) if b.is_(i + 2, "struct", "interface") else "type"
+        elif w == "type" and not (b.is_(i + 2, "=", "<") if language == "typescript" else b.is_(i + 2, "=", "<", ";", ":")):
+            continue
+        if not name:
+            continue
+        first, last = b.head(at), b.body_end(i + 1)
+        if w == "type" and language == "typescript":
+            # to the end of its line, or of the brackets that open on it
+            last = i + 1
+            while last + 1 < len(b.toks) and not b.is_(last, ";") and (b.line(b.toks[last + 1].start) == b.line(b.toks[last].end - 1) or b.is_(last + 1, "|", "&") or b.is_(last, "|", "&", "=")):
+                last = b.skip(last + 1) - 1 if b.is_(last + 1, "{", "(", "[") else last + 1
+        span = b.toks[first].start, b.toks[max(last, at)].end
+        out.append(Declaration(name, kind, *span, header(text[slice(*span)], language)))
+    return out
+
+
+def declarations(text: str, language: str) -> tuple[list[Declaration], str]:
+    """Functions and types of a source text in the order of their start, and the text their positions are of."""
+    tree, source = functions(text, language)
+    types = _python_types(source, _parse_python(source)[0]) if language == "python" else _braced_types(source, language)
+    own = [Declaration(f.name, "function", f.start, f.end, header(source[f.start : f.end], language)) for f in walk(tree)]
+    return sorted(own + types, key=lambda d: (d.start, -d.end)), source

@@ -44,7 +44,8 @@ def ascii_slug(text: Column) -> Column:
 
 
 def normal_path(path: Column) -> Column:
-    return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(\./)+", "")
+    """``/`` as separator, no leading ``./``."""
+    return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(\./+)+", "")
 
 
 def endpoint_path(anchor_id: Column) -> Column:

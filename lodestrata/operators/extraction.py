@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.functions.code_trees import LANGUAGES, Function, functions
+from lodestrata.functions.code_trees import LANGUAGES, Declaration, Function, declarations, functions
 from lodestrata.session import spread
 
 MAX_DEPTH = 4
@@ -141,3 +142,35 @@ def code_symbols(files: DataFrame) -> DataFrame:
     end = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
     lang = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[end]
     return spread(files.where("text is not null").select("path", lang.alias("language"), "text").where("language is not null")).mapInArrow(_code, SYMBOLS)
+
+
+DECLARATIONS = "path string, language string, kind string, name string, qualified_name string, code_id string, signature string, signature_hash string, start int, stop int"
+_DECL_ARROW = pa.schema([(n, pa.int32() if t == "int" else pa.string()) for n, t in (x.split() for x in DECLARATIONS.split(", "))])
+
+
+def _declared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            for path, lang, text in zip(*(c.to_pylist() for c in b.columns)):
+                found, _ = declarations(text, lang)
+                outer: list[Declaration] = []
+                named = []
+                for d in found:
+                    while outer and outer[-1].end < d.end:
+                        outer.pop()
+                    named.append((d, ".".join([*(o.name for o in outer), d.name]), hashlib.sha256(d.signature.encode("utf-8", "surrogatepass")).hexdigest()[:6]))
+                    outer.append(d)
+                often = Counter(q for _, q, _ in named)
+                for d, q, h in named:
+                    # overloads of one name are told apart by their signatures
+                    yield path, lang, d.kind, d.name, q, f"{path}:{q}" + (f"@{h}" if often[q] > 1 else ""), d.signature, h, d.start, d.end
+
+    yield from _batches(rows(), _DECL_ARROW)
+
+
+def code_declarations(files: DataFrame) -> DataFrame:
+    """Functions, methods and types of source files (``path, text``), with the names they stand in, their headers and the six digits
+    that tell overloads apart. One pass without a shuffle; null texts and unknown endings give nothing."""
+    end = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
+    lang = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[end]
+    return spread(files.where("text is not null").select("path", lang.alias("language"), "text").where("language is not null")).mapInArrow(_declared, DECLARATIONS)

@@ -67,9 +67,44 @@ def worst_status(edges: DataFrame, status: DataFrame, *, max_rounds: int = 1000)
         step = materialize(joined)
         changed = step.where("to > r").select("id", F.col("to").alias("r"))
         if changed.isEmpty():
-            break
+            return now.select("id", F.element_at(names, F.col("r") + 1).alias("status"))
         now = step.select("id", F.col("to").alias("r"))
-    return now.select("id", F.element_at(names, F.col("r") + 1).alias("status"))
+    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+
+
+def full_edges(calls: DataFrame, inherited: DataFrame, imported: DataFrame) -> DataFrame:
+    """Edges of the full mode: calls, a class to the definitions it inherits, and a user to the definitions it imports, each once."""
+    out = calls.select("src", "dst").unionByName(inherited.select("src", "dst")).unionByName(imported.select("src", "dst"))
+    return out.where("src is not null and dst is not null").distinct()
+
+
+def body_hashes(edges: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``src, dst, body_hash``: the hash of each callee's text in canonical form, null for a callee that is no anchor."""
+    from lodestrata.functions.text import content_hash
+
+    a = anchors.select(F.col("id").alias("dst"), content_hash(F.col("content_text")).alias("body_hash"))
+    return edges.select("src", "dst").distinct().join(a, "dst", "left").select("src", "dst", "body_hash")
+
+
+# Languages for which a call graph can be made.
+ADAPTERS = ["python", "typescript", "javascript", "go", "rust", "zig"]
+
+
+def enrich(anchors: DataFrame, edges: DataFrame, failed: DataFrame, *, languages: list[str] = ADAPTERS, available: list[str] | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """``id, status, closure_hash`` of code anchors: unsupported where there is no adapter for the language, lsp_unavailable where it
+    has no session (``available``), lsp_error where the server failed (``failed``, id), else by the closure: partial where it reaches
+    ``max_depth``, complete otherwise, with the hash of the closure (none for an anchor that calls nothing)."""
+    from lodestrata.functions.text import language
+
+    have = languages if available is None else available
+    code = anchors.where("anchor_type = 'code'").select("id", language(F.col("path")).alias("lang"))
+    good = code.where(F.col("lang").isin(have)).join(failed.select("id").distinct(), "id", "left_anti").select("id")
+    closed = materialize(closure(edges, good, max_depth=max_depth))
+    states = closure_states(closed, max_depth=max_depth).select(F.col("root").alias("id"), F.col("status").alias("reached"))
+    hashes = closure_hashes(closed, anchors).select(F.col("root").alias("id"), "closure_hash")
+    bad = failed.select("id", F.lit(True).alias("_failed")).distinct()
+    status = F.when(~F.coalesce(F.col("lang").isin(languages), F.lit(False)), "unsupported").when(~F.col("lang").isin(have), "lsp_unavailable").when(F.col("_failed"), "lsp_error").otherwise(F.coalesce("reached", F.lit("complete")))
+    return code.join(bad, "id", "left").join(states, "id", "left").join(hashes, "id", "left").select("id", status.alias("status"), "closure_hash")
 
 
 def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions.text import normal_path
+
 CHUNK_ROWS = 8
 
 
@@ -190,13 +192,10 @@ def normal_hash(c: Column) -> Column:
     return F.when(c.isNull(), None).when(hit != "", F.lower(hit)).otherwise(F.lower(F.trim(c)))
 
 
-def normal_path(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"\\", "/"), r"^(\./+)+", "")
-
-
 def counted_runs(index_metadata: DataFrame) -> DataFrame:
-    """Runs that count: those with a manifest. Manifest texts are not shuffled."""
-    return index_metadata.where(F.col("indexed_file_manifest").isNotNull()).select("index_id", "repo", "indexed_branch", "updated_at").distinct()
+    """Runs that count: those with a manifest. Text that can't be a JSON object is none, so such a run has failed, like one without
+    a manifest. Manifest texts are not shuffled."""
+    return index_metadata.where(F.col("indexed_file_manifest").rlike(r"(?s)\A\s*\{.*\}\s*\z")).select("index_id", "repo", "indexed_branch", "updated_at").distinct()
 
 
 def manifest_items(index_metadata: DataFrame) -> DataFrame:

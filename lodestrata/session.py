@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,13 +33,15 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the session's ``spark.checkpoint.dir``. Where that is unset (tests,
-    a single machine) a folder of this machine is made and set."""
+    a single machine) a folder of this machine is made and set; it goes when the process ends."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
+        own = tempfile.mkdtemp(prefix="lodestrata-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = "file://" + own
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at

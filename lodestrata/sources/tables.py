@@ -6,8 +6,9 @@ import hashlib
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _fs(spark: SparkSession, path: str):
@@ -16,35 +17,58 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
+def _point(spark: SparkSession, root: str, text: str) -> None:
+    """Puts the pointer in place by a rename that overwrites: at no time is there none."""
+    _, tmp, jvm = _fs(spark, f"{root}/.{uuid.uuid4().hex}.tmp")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
+    fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), conf)
+    out = tmp.getFileSystem(conf).create(tmp, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    fc.rename(tmp, target, how)
+
+
 def write_version(df: DataFrame, root: str) -> str:
     """Writes a new version of a table below ``root`` and then points to it: the pointer is a small file put in place by a
-    rename, so readers see the old version or the new one and never parts. Returns the version."""
+    rename, so readers see the old version or the new one, never parts and never nothing. Returns the version."""
+    return write_versions({"": df}, root)
+
+
+def write_versions(tables: dict[str, DataFrame], root: str) -> str:
+    """Several tables as one version: parents and their chunks change together, as the pointer is set once all are written. Of
+    equal concurrent writers the last to set it wins; the versions of the others stay unread."""
     version = "v-" + uuid.uuid4().hex
-    df.write.mode("error").parquet(f"{root}/{version}")
-    fs, tmp, jvm = _fs(df.sparkSession, f"{root}/.{version}.tmp")
-    out = fs.create(tmp, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    target = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    fs.delete(target, False)
-    if not fs.rename(tmp, target):
-        raise OSError(f"{root}: the pointer could not be set")
+    for name, df in tables.items():
+        df.write.mode("error").parquet(f"{root}/{version}/{name}".rstrip("/"))
+    _point(next(iter(tables.values())).sparkSession, root, version)
     return version
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    fs, p, _ = _fs(spark, f"{root}/CURRENT")
+    fs, p, jvm = _fs(spark, f"{root}/CURRENT")
     if not fs.exists(p):
         return None
     s = fs.open(p)
-    n = int(fs.getFileStatus(p).getLen())
-    data = bytes(x & 0xFF for x in (s.read() for _ in range(n)))
-    s.close()
-    return data.decode()
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(s, "UTF-8")
+    finally:
+        s.close()
+
+
+def migrated(df: DataFrame, schema: str, defaults: dict[str, Column] | None = None) -> DataFrame:
+    """A stored table in a newer schema: columns it lacks are made from ``defaults`` (an expression over the old columns, else null),
+    others are cast, those the schema doesn't have are left out. Migrating twice changes nothing."""
+    want = T.StructType.fromDDL(schema) if hasattr(T.StructType, "fromDDL") else df.sparkSession.createDataFrame([], schema).schema
+    made = defaults or {}
+    return df.select(*[(F.col(f.name) if f.name in df.columns else made.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in want.fields])
 
 
-def read_current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{current_version(spark, root)}")
+def read_current(spark: SparkSession, root: str, name: str = "") -> DataFrame:
+    return spark.read.parquet(f"{root}/{current_version(spark, root)}/{name}".rstrip("/"))
 
 
 def config_hash(config: dict) -> str:

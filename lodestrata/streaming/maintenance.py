@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.change_feed import LINK_FEED, apply_changes
@@ -27,16 +27,24 @@ def once(events: DataFrame, *, token: str, at: str, late: str = "10 minutes") ->
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark([token])
 
 
+def state_after(spark: SparkSession, state_path: Callable[[int], str], n: int) -> DataFrame:
+    """All records kept up to a batch."""
+    return spark.read.parquet(*[state_path(i) for i in range(n + 1)])
+
+
 def keep_links(feed: DataFrame, state_path: Callable[[int], str], checkpoint: str):
-    """Runs a feed of link records into versioned tables of deduplicated records; ``state_path(batch)`` names the table after a
-    batch, so that a batch repeated after a failure writes the same table again."""
+    """Runs a feed of link records into tables of the records that each batch brought for the first time, whose union
+    (``state_after``) is the deduplicated log; ``state_path(batch)`` names the table of a batch, so that a batch repeated after a
+    failure writes the same table again. Of a record delivered again the delivery received first is kept within a batch, as in
+    the batch operator, and the earlier batch's otherwise. Earlier tables are only read for their event ids."""
 
     def merge(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        new = batch
+        order = [F.col(c).asc_nulls_last() for c in ("received_at", "layer") if c in batch.columns]
+        w = Window.partitionBy("event_id").orderBy(*(order or [F.lit(0)]))
+        new = batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
         if n > 0:
-            new = spark.read.parquet(state_path(n - 1)).unionByName(batch)
-        new.dropDuplicates(["event_id"]).write.mode("overwrite").parquet(state_path(n))
+            new = new.join(state_after(batch.sparkSession, state_path, n - 1).select("event_id"), "event_id", "left_anti").select(*batch.columns)
+        new.write.mode("overwrite").parquet(state_path(n))
 
     return feed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
