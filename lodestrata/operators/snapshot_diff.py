@@ -21,8 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import normal_path
+from lodestrata.session import materialize
 
 CHUNK_ROWS = 8
+#: Runs up to which they are sent to all tasks (about 50 MB); beyond it rows are joined with their runs by a shuffle.
+MOST_RUNS = 500_000
 
 
 def ordered_runs(runs: DataFrame, *, run_id: str, series: list[str], order_by: str) -> DataFrame:
@@ -164,12 +167,13 @@ def snapshot_changes(
     Other columns of both inputs are not looked at and may have any name.
     """
     rk = runs.schema[run_id].dataType
-    ordered = ordered_runs(runs, run_id=run_id, series=series, order_by=order_by)
+    ordered = materialize(ordered_runs(runs, run_id=run_id, series=series, order_by=order_by))
+    known = F.broadcast(ordered) if ordered.count() <= MOST_RUNS else ordered
     ver: Column = F.col(version) if version else F.lit(0)
     from pyspark.sql.pandas.types import to_arrow_type
 
     raw = items.where(F.col(key).isNotNull() & F.col(run_id).isNotNull()).select(F.col(run_id).cast(rk).alias("_run"), F.col(key).cast("string").alias("_key"), ver.alias("_ver"), F.col(value).cast("string").alias("_value"))
-    placed = raw.mapInArrow(_fewer, raw.schema).join(ordered, "_run").repartitionByRange(F.col("_series"), F.col("_key"))
+    placed = raw.mapInArrow(_fewer, raw.schema).join(known, "_run").repartitionByRange(F.col("_series"), F.col("_key"))
     # grouped by what they are partitioned by and more, and sorted by that: neither takes another shuffle or sort
     by = ["_series", "_seq", "_run", "_next", "_key"]
     one = placed.groupBy(*by).agg(F.max(F.struct("_ver", "_value"))["_value"].alias("_value")).sortWithinPartitions(*by)
