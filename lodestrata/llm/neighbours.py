@@ -44,6 +44,8 @@ LEVELS, WORDS, BEAM = 8, 256, 4
 BLOCK_ITEMS, BLOCK_QUERIES = 20_000, 8_000
 #: Neighbours a query may expect to lose by the lists it leaves out; standard deviations of the quantisation error.
 LOSS, SIGMAS = 0.005, 4.0
+#: Times the spread of a remainder of random direction that is allowed for, as vectors of a cluster aren't spread evenly.
+WIDEN = 1.5
 
 
 def usable(vec: Column, dim: int) -> Column:
@@ -134,10 +136,14 @@ class Quantiser:
         nearer = dots - dots[rows, own][:, None]
         apart = cc[None, :] + cc[own][:, None] - 2 * c[own] @ c.T
         s = np.clip(s.astype(np.float32), -1, 1)[:, None]
-        mean = s * nearer - (cc[None, :] - cc[own][:, None]) / 2
-        spread_ = np.sqrt((1 - s * s) * np.maximum(apart - nearer * nearer, 0) / max(x.shape[1] - 1, 1)) + 1e-6
-        z = np.clip(mean / spread_, -8, 8)
-        p = 1 / (1 + np.exp(-z * (1.5976 + 0.07056599 * z * z)))
+        across = np.sqrt(np.maximum(apart - nearer * nearer, 0) / max(x.shape[1] - 1, 1))
+        p = np.zeros_like(dots)
+        for more in (0, 1 / 3, 2 / 3):  # what is more similar may lie in other lists
+            at = s + more * (1 - s)
+            mean = at * nearer - (cc[None, :] - cc[own][:, None]) / 2
+            z = np.clip(mean / (WIDEN * np.sqrt(1 - at * at) * across + 1e-6), -8, 8)
+            p = np.maximum(p, 1 / (1 + np.exp(-z * (1.5976 + 0.07056599 * z * z))))
+        p[s[:, 0] <= -1] = 1
         p[rows, own] = 1
         order = np.argsort(-p, axis=1, kind="stable")
         left = np.cumsum(np.take_along_axis(p, order, 1)[:, ::-1], axis=1)[:, ::-1]
@@ -191,7 +197,8 @@ def _encode(batches: Iterator[pa.RecordBatch], shared, dim: int) -> Iterator[pa.
 
 
 def _send(batches: Iterator[pa.RecordBatch], shared, dim: int, loss: float, least: int) -> Iterator[pa.RecordBatch]:
-    """Each query once to every group that holds one of its lists, with those lists; ``s`` is the least similarity."""
+    """Each query once to every group that holds one of its lists, with those lists: those that may hold a vector of
+    similarity ``s``. Found will be vectors of ``least`` or more."""
     q = shared.value
     for big in batches:
         for at in range(0, big.num_rows, 500):
@@ -205,8 +212,8 @@ def _send(batches: Iterator[pa.RecordBatch], shared, dim: int, loss: float, leas
             first = np.flatnonzero(new)
             src = pa.array(row[first])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(g[first].astype(np.int32)), *(_col(b, c).take(src) for c in ("h", "x", "s")), pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(lists.astype(np.int32)))],
-                names=["g", "h", "x", "s", "look"],
+                [pa.array(g[first].astype(np.int32)), *(_col(b, c).take(src) for c in ("h", "x", "least")), pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(lists.astype(np.int32)))],
+                names=["g", "h", "x", "least", "look"],
             )
 
 
@@ -233,7 +240,7 @@ def _search(items: pd.DataFrame, queries: pd.DataFrame, q: Quantiser, dim: int,
     lists, starts = np.unique(at_list, return_index=True)
     spans = dict(zip(lists.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(items)])))
     qs = np.frombuffer(b"".join(queries["x"]), dtype=np.float32).reshape(-1, dim)
-    h, least = queries["h"].to_numpy(), queries["s"].to_numpy().astype(np.float32)
+    h, least = queries["h"].to_numpy(), queries["least"].to_numpy().astype(np.float32)
     look = queries["look"].to_numpy()
     out_h, out_i, out_s = [], [], []
     for n0 in range(0, len(qs), 1024):
@@ -277,12 +284,12 @@ def _search(items: pd.DataFrame, queries: pd.DataFrame, q: Quantiser, dim: int,
 
 
 def _round(items: DataFrame, wanted: DataFrame, shared, dim: int, k: int, loss: float, probes: int, kt: str) -> DataFrame:
-    """``h, neighbour, similarity``: the best k items (``list, key, x, codes, norm``) of every query (``h, x, s``)."""
+    """``h, neighbour, similarity, r``: the best k items (``list, key, x, codes, norm``) of every query (``h, x, s, least``)."""
     spark, q = items.sparkSession, shared.value
     # as many rows as lists
     groups = F.broadcast(spark.createDataFrame(pd.DataFrame({"list": np.arange(len(q.group), dtype=np.int32), "g": q.group}), "list int, g int"))
     placed = items.join(groups, "list")
-    sent = materialize(wanted.select("h", "x", "s").mapInArrow(lambda it: _send(it, shared, dim, loss, probes), "g int, h long, x binary, s double, look array<int>"))
+    sent = materialize(wanted.select("h", "x", "s", "least").mapInArrow(lambda it: _send(it, shared, dim, loss, probes), "g int, h long, x binary, least double, look array<int>"))
     n = lambda size: F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("int")
     sizes = F.broadcast(placed.groupBy("g").agg(n(BLOCK_ITEMS).alias("bi")).join(sent.groupBy("g").agg(n(BLOCK_QUERIES).alias("bq")), "g"))
     left = placed.join(sizes, "g").withColumn("i", F.pmod(F.xxhash64("key"), F.col("bi")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("bq") - 1))).drop("bi", "bq")
@@ -326,11 +333,11 @@ def nearest(df: DataFrame, *, key: str, vec: str, dim: int, k: int = 5, queries:
     wanted = coded.where("rn = 1").select("h", "x")
     wanted = wanted if queries is None else wanted.join(members.where("asks").select("h").distinct(), "h", "left_semi")
     if least is None:
-        first = _round(items, wanted.withColumn("s", F.lit(1.0)), shared, dim, k + 1, loss, probes, kt)
+        first = _round(items, wanted.withColumn("s", F.lit(1.0)).withColumn("least", F.lit(-1.0)), shared, dim, k + 1, loss, probes, kt)
         kth = first.where(F.col("r") == k + 1).select("h", F.col("similarity").alias("s"))
-        asks = wanted.join(kth, "h", "left").select("h", "x", F.coalesce("s", F.lit(-1.0)).alias("s"))
+        asks = wanted.join(kth, "h", "left").select("h", "x", F.coalesce("s", F.lit(-1.0)).alias("s")).withColumn("least", F.col("s") - 1e-6)
     else:
-        asks = wanted.withColumn("s", F.lit(float(least)))
+        asks = wanted.withColumn("s", F.lit(float(least))).withColumn("least", F.col("s"))
     best = _round(items, asks, shared, dim, k + 1, loss, probes, kt).select("h", "neighbour", "similarity")
     own = members.where("asks").select("h", "key").distinct()
     pairs = best.join(own, "h").where(F.col("neighbour") != F.col("key"))

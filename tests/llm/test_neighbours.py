@@ -72,3 +72,27 @@ def test_hot_group_of_near_copies_is_found_whole(spark):
     np.fill_diagonal(s, -2)
     want = {tuple(sorted((keys[i], keys[j]))) for i in range(1800) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.9}
     assert len(want) > 1000 and len(want - got) <= 2 and len(got - want) <= 2  # float32 against float64 at near ties
+
+
+def test_recall_at_registered_settings_without_a_bound(spark):
+    """No least similarity, default lists and losses: clustered vectors, a third of them in one hot group."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 64))
+    x = centres[rng.integers(0, 40, 4500)] + 0.7 * rng.normal(size=(4500, 64))
+    x[:1500] = centres[0] + 0.3 * rng.normal(size=(1500, 64))
+    x = x.astype(np.float32)
+    keys = [f"k{i:04}" for i in range(4500)]
+    near = N.nearest(frame(spark, [(k, v.tolist()) for k, v in zip(keys, x)]), key="key", vec="vec", dim=64, list_rows=100)
+    mine = near.toPandas().groupby("key").neighbour.apply(set).to_dict()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    top = np.argsort(-s, axis=1)[:, :5]
+    recall = [len({keys[j] for j in top[i]} & mine[keys[i]]) / 5 for i in range(4500)]
+    assert np.mean(recall[:1500]) >= 0.9 and np.mean(recall[1500:]) >= 0.9
+
+
+def test_lists_are_found_hierarchically():
+    x = np.random.default_rng(2).normal(size=(3000, 8)).astype(np.float32)
+    c = N._kmeans(x, 500, 4, np.random.default_rng(1))
+    assert 450 <= len(c) <= 550 and len(np.unique(N._nearest(x, c, 1))) > 400
