@@ -25,6 +25,8 @@ BLOCK_TOKENS = 256
 SHARD_SLOTS = 4096
 #: Documents laid end to end by one task; the last block of each such run may be short.
 RUN_DOCS = 20_000
+#: Output shards whose slots are numbered by one task.
+SPAN_SHARDS = 10_000
 SEED = 7
 
 
@@ -94,8 +96,11 @@ def slots(spark, sources: list[tuple[str, float, int, int]], total: int, *, shar
             counts = np.array([np.random.default_rng(_key(seed, i)).multinomial(min(shard_slots, total - i * shard_slots), p) for i in ids])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(p))), pa.array(np.tile(np.arange(len(p)), len(ids)).astype(np.int32)), pa.array(counts.ravel().astype(np.int64))], names=["shard", "s", "n"])
 
-    drawn = spark.range(shards).mapInArrow(draw, "shard long, s int, n long")
-    before = drawn.withColumn("first", F.sum("n").over(Window.partitionBy("s").orderBy("shard")) - F.col("n"))
+    # places of a source's slots: sums by span of shards, of which there are few, then within each span
+    drawn = spark.range(shards).mapInArrow(draw, "shard long, s int, n long").withColumn("span", F.floor(F.col("shard") / SPAN_SHARDS))
+    spans = drawn.groupBy("s", "span").agg(F.sum("n").alias("in_span")).withColumn("base", F.sum("in_span").over(Window.partitionBy("s").orderBy("span")) - F.col("in_span")).drop("in_span")
+    inside = F.sum("n").over(Window.partitionBy("s", "span").orderBy("shard")) - F.col("n")
+    before = drawn.withColumn("inside", inside).join(spans, ["s", "span"]).withColumn("first", F.col("base") + F.col("inside"))
 
     def map_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,8 +122,10 @@ def mix(docs: DataFrame, targets: DataFrame, *, total_tokens: int | None = None,
 
     ``docs`` has source, doc_id and n_tokens; sources are compared without case and outer blanks, null ones and those
     without a target are left out. The mixture has ``total_tokens``, or by default as many as the scarcest source
-    allows. A source without tokens gets nothing, its share going to the others in proportion. Two rows of one
-    doc_id and source are one document of their tokens' sum. Empty documents are never chosen."""
+    allows. Where ``total_tokens`` asks a source for more than all its repeats, it gives all of them and no more: the mixture is
+    then that much smaller, and ``shares`` reports the actual shares. A source without tokens gets nothing, its share going to
+    the others in proportion. Two rows of one doc_id (a null one too) and source are one document of their tokens' sum.
+    Empty documents are never chosen."""
     spark = docs.sparkSession
     norm = F.lower(F.trim(F.regexp_replace("source", r"^\s+|\s+$", "")))
     goals = {r["source"]: (r["share"], r["repeats"]) for r in targets.where("source is not null").select(norm.alias("source"), F.col("target_share").alias("share"), F.col("max_repeats").alias("repeats")).groupBy("source").agg(F.sum("share").alias("share"), F.max("repeats").alias("repeats")).collect()}
@@ -134,7 +141,8 @@ def mix(docs: DataFrame, targets: DataFrame, *, total_tokens: int | None = None,
         return own.where("false").select("source", "doc_id", "n_tokens", F.lit(0).cast("long").alias("repeats"), F.lit(0).cast("long").alias("used_tokens"))
     drawn = slots(spark, use, total, shard_slots=shard_slots, seed=seed)
     used = blocks.join(drawn, ["source", "block"]).groupBy("source", "doc_id").agg(F.max("times").alias("repeats"), F.sum(F.col("tokens") * F.col("times")).alias("used_tokens"))
-    return used.join(own, ["source", "doc_id"]).select("source", "doc_id", "n_tokens", "repeats", "used_tokens")
+    sizes = own.select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), "n_tokens")
+    return used.join(sizes, (F.col("source") == F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("source", "doc_id", "n_tokens", "repeats", "used_tokens")
 
 
 def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:

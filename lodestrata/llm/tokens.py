@@ -1,10 +1,9 @@
-"""Text sizes in tokens of a public tokenizer, whose vocabulary files are read from a folder given by the caller."""
+"""Text sizes in tokens of a public tokenizer, whose rank file is read from a folder given by the caller."""
 
 from __future__ import annotations
 
 import base64
 import functools
-import importlib.util
 import os
 from collections.abc import Iterator
 
@@ -19,17 +18,18 @@ FOLDER = os.environ.get("LODESTRATA_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+# Fixed value: the public pattern that splits text before the merges of such rank files.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 @functools.cache
-def encoding(folder: str, vocabulary: str):
-    """One encoding a process; the folder's package gives the pattern that splits words."""
+def encoding(folder: str, vocabulary: str, pattern: str = PATTERN):
+    """One encoding a process. Nothing of the folder but the rank file is read."""
     import tiktoken
 
-    spec = importlib.util.spec_from_file_location("tokenizer_files", os.path.join(folder, "__init__.py"))
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
     with open(os.path.join(folder, vocabulary), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(vocabulary, pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(vocabulary, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def count(text: str | None, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> int:

@@ -31,3 +31,15 @@ def test_same_again_and_empty(spark):
     run = lambda: sorted(tuple(r) for r in M.mix(df, goal, total_tokens=4096).collect())
     assert run() == run() and sum(r[4] for r in run()) <= 4096
     assert M.mix(df.where("false"), goal).count() == 0 and M.mix(df, goal.where("false")).count() == 0
+
+
+def test_more_than_a_source_may_give(spark):
+    """A source that is asked for more than its repeats gives all of them; null documents keep their tokens."""
+    docs = [("a", i, 64) for i in range(40)] + [("a", None, 64)] + [("b", i, 64) for i in range(4000)]
+    df = spark.createDataFrame([(*d, "x") for d in docs], "source string, doc_id long, n_tokens int, share string")
+    goals = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 9)], "source string, target_share double, max_repeats int")
+    out = M.mix(df, goals, total_tokens=100_000, block_tokens=64, shard_slots=32).toPandas()
+    used = out.groupby("source").used_tokens.sum()
+    assert used["a"] == 41 * 64 * 2 and abs(used["b"] - 50_000) < 4_000
+    assert out[out.source == "a"].doc_id.isna().sum() == 1 and out.repeats.max() <= 9
+    assert (out[out.source == "a"].repeats == 2).all()
