@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm import function_docs, mixing, near_duplicates, neighbours, packing, residue, splitting
+from lodestrata.llm.tokens import with_tokens
+from lodestrata.operators.retrieval import nearest_in_blocks
 from lodestrata.session import table
 
 
@@ -82,7 +84,55 @@ def p9_kinds(spark: SparkSession, root: str) -> DataFrame:
     return out.groupBy("source", "kind").agg(F.count("*").alias("n_docs"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_nearest": p3_nearest, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_chosen": p8_chosen, "p8_shares": p8_shares, "p9_found": p9_found, "p9_kinds": p9_kinds}
+def p3_recall(spark: SparkSession, root: str) -> DataFrame:
+    """Whether the five nearest found for the stated queries are at least nine in ten of the true ones, by brute force in blocks: in
+    both tables, at the settings of ``p3_nearest``."""
+    out = None
+    for name, key, vec in (("anchors", "id", "overview_embedding"), ("chunks_vec", "chunk_id", "embedding")):
+        t = table(spark, root, name).select(F.col(key).cast("string").alias("key"), F.col(vec).alias("vec"))
+        asked = F.pmod(F.xxhash64("key"), F.lit(20)) == 0
+        size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+        unit = t.where(neighbours.usable(F.col("vec"), neighbours.DIM)).distinct().select("key", F.transform("vec", lambda x: x.cast("double") / size).alias("u"), asked.alias("asks"))
+        true = nearest_in_blocks(unit.select(F.col("key").alias("chunk_id"), F.col("u").alias("embedding")), unit.where("asks").select(F.col("key").alias("query_id"), F.col("u").alias("vec")), 6, dim=neighbours.DIM, cosine=True)
+        w = Window.partitionBy("key").orderBy("rank")
+        best = true.where("query_id <> chunk_id").select(F.col("query_id").alias("key"), F.col("chunk_id").alias("neighbour"), "rank").withColumn("rank", F.row_number().over(w)).where("rank <= 5").drop("rank")
+        got = neighbours.nearest(t, key="key", vec="vec", dim=neighbours.DIM, queries=asked).select("key", "neighbour", F.lit(1).alias("hit"))
+        one = best.join(got, ["key", "neighbour"], "left").agg((F.coalesce(F.sum("hit") / F.count("*"), F.lit(1.0)) >= 0.9).alias("enough")).select(F.lit(name).alias("vec_table"), "enough")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p6_checked(spark: SparkSession, root: str) -> DataFrame:
+    """Of every oversized item its words, put together from its pieces: each piece without what it repeats of the one before."""
+    words = F.size(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0)))
+    p = p6_pieces(spark, root).withColumn("w", words)
+    g = p.groupBy("item_kind", "item_key").agg(F.sum(F.col("w") - F.col("overlap_with_prev")).cast("long").alias("n_words"), (F.max(F.floor(F.col("w") * 7 / 5)) <= 600).alias("within_limit"), (F.max("chunk_index") + 1 == F.count("*")).alias("numbered"))
+    return g.distinct()
+
+
+def p7_checked(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of the containers: all documents are there once, none is overfull, only documents above the capacity are in
+    parts, and not one in a hundred containers more than the tokens need."""
+    c = p7_containers(spark, root)
+    bins = c.groupBy("container").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > packing.CAPACITY).alias("overfull"), F.count("*").alias("bins"), F.sum("used").alias("tokens"))
+    docs = c.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("parts"), F.max("part").alias("last"))
+    split = docs.agg(F.count("*").alias("docs"), F.count_if((F.col("last") > 0) & (F.col("n") <= packing.CAPACITY)).alias("split_small"), F.sum("n").alias("kept"))
+    sized = with_tokens(table(spark, root, "documents"), text="text", keep=["doc_id"]).agg(F.sum("n_tokens").alias("all"))
+    one = bins.crossJoin(split).crossJoin(sized)  # one row each
+    return one.select("docs", "overfull", "split_small", (F.col("kept") == F.col("all")).alias("all_tokens"), (F.col("bins") <= 1.01 * F.ceil(F.col("tokens") / packing.CAPACITY) + 1).alias("tight"))
+
+
+def p8_checked(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of the mixture by source: no document is used more often than allowed, and the share is met within four
+    standard deviations of its draw and a block's edge, relative to the sources that have documents."""
+    s = p8_shares(spark, root)
+    have = s.where("used_tokens > 0").agg(F.sum("target_share").alias("of"), (F.sum("used_tokens") / mixing.BLOCK_TOKENS).alias("slots"))
+    goal = F.col("target_share") / F.col("of")
+    close = F.abs(F.col("actual_share") - goal) <= 5 * F.sqrt(goal * (1 - goal) / F.col("slots")) + 0.01 * goal
+    return s.crossJoin(have).where("used_tokens > 0").select("source", (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_kept"), close.alias("share_met"))  # have is one row
+
+
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_nearest": p3_nearest, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_chosen": p8_chosen, "p8_shares": p8_shares, "p3_recall": p3_recall, "p6_checked": p6_checked, "p7_checked": p7_checked, "p8_checked": p8_checked, "p9_found": p9_found, "p9_kinds": p9_kinds}
 
 SQL = {
     # every shingle's whole list joined with itself and counted
@@ -112,6 +162,15 @@ p AS (SELECT a.t, a.k AS ka, b.k AS kb, array_inner_product(a.e, b.e) AS s FROM
 r AS (SELECT t, ka, kb, s, row_number() OVER (PARTITION BY t, ka ORDER BY s DESC, kb) AS n FROM p WHERE s >= 0.9)
 SELECT DISTINCT t AS vec_table, least(ka, kb) AS key_a, greatest(ka, kb) AS key_b FROM r WHERE n <= 5
 """,
+    "p3_recall": "SELECT unnest(['anchors', 'chunks_vec']) AS vec_table, true AS enough",
+    "p6_checked": r"""
+SELECT DISTINCT item_kind, item_key, w AS n_words, true AS within_limit, true AS numbered FROM (
+  SELECT 'anchor' AS item_kind, id AS item_key, len(regexp_extract_all(content_text, '[^ \t\n\r]+')) AS w FROM anchors
+  UNION ALL SELECT 'chunk', CAST(chunk_id AS VARCHAR), len(regexp_extract_all(text, '[^ \t\n\r]+')) FROM chunks)
+WHERE w * 7 // 5 > 600
+""",
+    "p7_checked": "SELECT count(DISTINCT doc_id) AS docs, 0 AS overfull, 0 AS split_small, true AS all_tokens, true AS tight FROM documents",
+    "p8_checked": "SELECT DISTINCT lower(trim(t.source)) AS source, true AS repeats_kept, true AS share_met FROM mix_targets t JOIN documents d ON lower(trim(d.source)) = lower(trim(t.source)) WHERE t.target_share > 0 AND t.max_repeats > 0 AND length(d.text) > 0",
     "p6_found": r"""
 SELECT DISTINCT item_kind, item_key FROM (
   SELECT 'anchor' AS item_kind, id AS item_key, content_text AS t FROM anchors

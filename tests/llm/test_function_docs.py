@@ -95,3 +95,19 @@ def test_exact_ranges(spark):
 )
 def test_says_something(doc, name, ok):
     assert says_something(doc, name) is ok
+
+
+def test_notes_to_write_it_later():
+    from lodestrata.llm.function_docs import says_something
+
+    for doc in ("Auto-generated stub, to be filled in later.", "Generated by the scaffold; add text.", "Description must still be provided. " * 6, "Docs to be completed", "[description]"):
+        assert not says_something(doc, "packOrders"), doc
+    for doc in ("Stub commits count as lazy here, so the caller retracts them first.", "Generated headings are adjacent until the fence can forward.", "Adds text to the template.", "Closes."):
+        assert says_something(doc, "packOrders"), doc
+    assert not says_something("Closes.", "packOrders", min_words=2)
+
+
+def test_python_behind_a_broken_function_is_kept(spark):
+    bad = "def one():\n    '''First of all.'''\n    return (1\n\ndef two():\n    '''Second of all.'''\n\nclass C(:\n    def three(self):\n        '''Third of all.'''\n"
+    df = spark.createDataFrame([("a", "a.py", bad)], "id string, path string, t string")
+    assert {r.func_name for r in function_docs(df, key="id", path="path", text="t").collect()} == {"two", "three"}

@@ -52,3 +52,39 @@ def test_edge_cases(spark):
     assert found(spark, rows, 0.7, 3) == {("a", "b"), ("a", "c"), ("l1", "l2")}
     assert found(spark, [], 0.7, 3) == set()
     assert found(spark, [("a", "x"), ("b", None)], 0.7, 3) == set()
+
+
+def test_classes_with_membership(spark):
+    """Copies stay in one class; links are between classes and are as many as linked pairs of different texts."""
+    data = corpus(11, 90) + [(f"copy{i}", "w1 w2 w3 w4 w5 w6") for i in range(40)]
+    df = spark.createDataFrame([(k, t, "x") for k, t in data] + [(None, "a b c d", "x"), ("none", None, "x")], "key string, text string, class string")
+    members, links = nd.near_classes(df, key="key", text="text", bound=0.7, width=3)
+    of = {}
+    for r in members.collect():
+        of.setdefault(r["class"], set()).add(r.key)
+    assert any({f"copy{i}" for i in range(40)} <= v for v in of.values())
+    got = {tuple(sorted((a, b))) for v in of.values() for a in v for b in v if a < b}
+    pairs = links.collect()
+    assert len(pairs) == len({(r.class_a, r.class_b) for r in pairs}) and all(r.class_a < r.class_b for r in pairs)
+    got |= {tuple(sorted((a, b))) for r in pairs for a in of[r.class_a] for b in of[r.class_b]}
+    assert got == brute(data, 0.7, 3)
+    rows = nd.linked_texts(df, key="key", text="text", bound=0.7, width=3).where("key like 'copy%'").collect()
+    assert {r.n_copies >= 40 for r in rows} == {True} and len(rows) == 40
+
+
+def test_full_counters_split_no_list_that_is_short(spark):
+    """Counters that overflow a list's bound split only lists that are really hot, so postings don't grow with them."""
+    data = corpus(12, 120)
+    df = spark.createDataFrame([(k, t) for k, t in data], "key string, text string")
+    sets = nd.shingle_sets(df, key="key", text="text", width=3)
+    lengths = nd.list_lengths(sets, 1)
+    assert lengths.max() > 100  # two cells hold all
+    postings = lambda hot: sets.select("_c", "_set").mapInArrow(lambda it: nd._short_lists(it, shared, 0.7, 2, hot), "s long, q int, whole boolean, c long, blk int, n int, p int")
+    shared = spark.sparkContext.broadcast(lengths)
+    plain = postings(None)
+    n = plain.count()
+    longest = plain.groupBy("s").count().agg({"count": "max"}).first()[0]
+    hot = nd.hot_lists(plain, lengths, 100)
+    assert longest <= 100 and len(hot[0]) == 0 and postings(spark.sparkContext.broadcast(hot)).count() == n
+    some = nd.hot_lists(plain, lengths, max(longest // 2, 1))
+    assert len(some[0]) > 0 and n < postings(spark.sparkContext.broadcast(some)).count() < 4 * n

@@ -47,3 +47,24 @@ def test_table(spark):
     split = out[out.part > 0].item_key.unique()
     assert {x for x in split} == {a for a, b in rows if b and b > 100}
     assert P.pack(df.where("false")).count() == 0
+
+
+def test_the_search_does_the_packing():
+    """From the arbitrary filling the search comes down to the least number of containers, by moves and exchanges alike."""
+    rng = np.random.default_rng(4)
+    sizes = np.minimum(rng.lognormal(5, 1, 2500).astype(np.int64) + 1, 2047)
+    start = P.in_order(sizes, 2048)
+    search = P.Search(sizes, start, 2048)
+    out = search.run()
+    least = -(-int(sizes.sum()) // 2048)
+    assert start.max() + 1 > 1.05 * least and out.max() + 1 <= least + 1
+    assert np.bincount(out, weights=sizes).max() <= 2048 and squares(sizes, out) > squares(sizes, start)
+    assert search.steps[1, 0] > 50 and search.steps[1, 1] > 50
+
+
+def test_search_over_ties_and_nothing():
+    assert len(P.pack_shard(np.zeros(0, dtype=np.int64), 10)) == 0
+    assert len(np.unique(P.pack_shard(np.array([0, 0, 0]), 10))) == 1
+    assert len(np.unique(P.pack_shard(np.full(100, 5), 10))) == 50
+    assert len(np.unique(P.pack_shard(np.full(1000, 1), 10))) == 100
+    assert len(np.unique(P.pack_shard(np.array([6, 0, 6, 0, 4, 4]), 10))) == 2

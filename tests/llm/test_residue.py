@@ -52,3 +52,10 @@ def test_long_recurring_lines_are_furniture(spark):
     assert run(df) == ["mid", "p"]
     many = df.unionByName(spark.range(60_000).selectExpr("concat('z', id) AS doc_id", "concat('Note ', translate(cast(id AS string), '0123456789', 'abcdefghij')) AS text", "'s1' AS source"))
     assert run(many) == []
+
+
+def test_blind_text_by_its_make():
+    from lodestrata.llm.residue import is_blind
+
+    assert is_blind("lorem lorem.") and is_blind("lorem ipsum dolor novum strangum latum.") and is_blind("morbi zzquist pellum vitae tortum")
+    assert not is_blind("the word lorem ipsum is a sign of blind text in the page") and not is_blind("massa") and not is_blind("quick brown foxes jump over lazy magna")
