@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +20,26 @@ def skip_reason(content: Column, most: int = MAX_BYTES) -> Column:
     return F.when(F.length(content) == 0, "empty").when(F.length(content) > most, "oversize").when(head.isin("FFFE", "FEFF"), "utf-16").when(~F.is_valid_utf8(content.cast("string")), "not-utf-8")
 
 
+def folders(spark: SparkSession, root: str) -> list[str]:
+    """``root`` and the folders below it, sorted, without noise folders: these are not entered. Only folders' names come to the
+    driver, as they do for Spark's own listing."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out, todo = [], [at]
+    while todo:
+        p = todo.pop()
+        out.append(p.toUri().getPath())
+        todo += [s.getPath() for s in fs.listStatus(p) if s.isDirectory() and not re.search(NOISE, s.getPath().getName())]
+    return sorted(out)
+
+
 def repository(spark: SparkSession, root: str) -> DataFrame:
-    """``path, content, kind, skip_reason`` of all files under ``root``; noise folders are pruned by their path. Contents are
+    """``path, content, kind, skip_reason`` of all files under ``root``; noise folders are pruned before they are listed. Contents are
     read only where a later step asks for them. Files without a byte are not listed by Spark's file source."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    raw = spark.read.format("binaryFile").load(folders(spark, root))
     base = root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.col("path"), "^.*?" + base.replace(".", r"\."), "")
+    rel = F.regexp_replace(F.col("path"), "^.*?" + re.escape(base), "")
     out = raw.select(rel.alias("path"), "content").where(~F.col("path").rlike(NOISE))
     return out.select("path", "content", file_kind(F.col("path")).alias("kind"), skip_reason(F.col("content")).alias("skip_reason"))
 
