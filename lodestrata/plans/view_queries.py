@@ -285,3 +285,74 @@ def most_pressing(spark: SparkSession, root: str) -> DataFrame:
     rank = F.least(F.array_position(F.array(*[F.lit(s) for s in D.PRECEDENCE]), F.col("drift_status")), F.lit(5).cast("long"))
     first = _drift(spark, root).where("drift_status <> 'fresh'").select("link_id", rank.alias("severity")).orderBy("severity", "link_id").limit(50)
     return first.select("link_id", F.row_number().over(Window.orderBy("severity", "link_id")).alias("rank"))
+
+
+@query("SELECT DISTINCT file_path AS path FROM documents WHERE file_path IS NOT NULL AND regexp_matches(file_path, '^(docs|doc|documentation)/') AND lower(file_path) LIKE '%.md' AND NOT regexp_matches(file_path, '(?:^|/)\\.git/')")
+def doc_files(spark: SparkSession, root: str) -> DataFrame:
+    """Documents in the usual folders."""
+    from lodestrata.sources.seams import doc_files as found
+
+    return found(table(spark, root, "documents").where("file_path is not null").select(F.col("file_path").alias("path"))).distinct()
+
+
+@query("SELECT id AS path, count(*) AS n FROM anchors GROUP BY id")
+def cached_index(spark: SparkSession, root: str) -> DataFrame:
+    """An index by anchor of which the code's part is cached, and of the rest an older state."""
+    from lodestrata.sources.seams import cached_index as refreshed
+
+    a = table(spark, root, "anchors").select(F.col("id").alias("path"), (F.col("anchor_type") == "code").cast("int").alias("mtime"))
+    cache = a.select("path", F.lit(1).alias("mtime")).groupBy("path", "mtime").agg(F.count("*").alias("n"))
+    return refreshed(a, cache, lambda rest: rest.groupBy("path", "mtime").agg(F.count("*").alias("n"))).select("path", "n")
+
+
+@query(
+    f"""WITH a AS (SELECT id, CASE lower(regexp_extract(path, '\\.(\\w+)$', 1)) WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'zig' THEN 'zig' END AS lang, transitive_hash_status AS s FROM anchors WHERE anchor_type = 'code'),
+    r AS (SELECT root, max(depth) AS depth FROM ({INDEX_SQL['call_closure']}) GROUP BY root)
+    SELECT id, CASE WHEN lang IS NULL THEN 'unsupported' WHEN lang = 'zig' THEN 'lsp_unavailable' WHEN s = 'lsp_error' THEN 'lsp_error' WHEN r.depth >= 32 THEN 'partial' ELSE 'complete' END AS status FROM a LEFT JOIN r ON r.root = a.id"""
+)
+def enrichment(spark: SparkSession, root: str) -> DataFrame:
+    """Without a session for one language, and with the stored errors as failures."""
+    from lodestrata.operators import graph as G
+    from lodestrata.plans.index_queries import _edges
+
+    a = table(spark, root, "anchors")
+    failed = a.where("transitive_hash_status = 'lsp_error'").select("id")
+    return G.enrich(a, _edges(spark, root), failed, available=[x for x in G.ADAPTERS if x != "zig"]).select("id", "status")
+
+
+@query(f"SELECT e.src, e.dst, a.h IS NOT NULL AS known FROM (SELECT DISTINCT from_id AS src, to_id AS dst FROM {_ACTIVE} WHERE from_type = 'code' AND to_type = 'code') e LEFT JOIN (SELECT id, content_text AS h FROM anchors) a ON a.id = e.dst")
+def callee_bodies(spark: SparkSession, root: str) -> DataFrame:
+    from lodestrata.operators import graph as G
+    from lodestrata.plans.index_queries import _edges
+
+    return G.body_hashes(_edges(spark, root), table(spark, root, "anchors")).select("src", "dst", F.col("body_hash").isNotNull().alias("known"))
+
+
+@query()
+def code_declarations(spark: SparkSession, root: str) -> DataFrame:
+    """Functions and types of code anchors with their headers."""
+    from lodestrata.operators import extraction as E
+
+    a = table(spark, root, "anchors").where("anchor_type = 'code'")
+    return E.code_declarations(a.select(F.col("path"), F.col("content_text").alias("text"))).select("path", "kind", "qualified_name", "code_id", "signature", "signature_hash")
+
+
+@query(
+    """SELECT id AS anchor_id, 'out' AS direction, to_id AS other FROM anchors JOIN (SELECT DISTINCT from_id, to_id FROM link_records WHERE from_id IS NOT NULL AND to_id IS NOT NULL) l ON l.from_id = id WHERE is_test
+    UNION SELECT id, 'in', from_id FROM anchors JOIN (SELECT DISTINCT from_id, to_id FROM link_records WHERE from_id IS NOT NULL AND to_id IS NOT NULL) l ON l.to_id = id WHERE is_test"""
+)
+def one_hop(spark: SparkSession, root: str) -> DataFrame:
+    """Whatever a test was ever linked to."""
+    from lodestrata.operators import graph as G
+
+    e = table(spark, root, "link_records").where("from_id is not null and to_id is not null").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
+    return G.neighbours(e, table(spark, root, "anchors").where("is_test")).select(F.col("id").alias("anchor_id"), "direction", "other")
+
+
+_WORD = "'[^ \\t\\n\\r\\f\\v]+'"
+SQL["search_packets"] = f"""WITH h AS ({INDEX_SQL['hybrid_search']}), c AS (SELECT DISTINCT ON (chunk_id) chunk_id, text FROM chunks),
+    j AS (SELECT h.query_id, h.rank, h.score, h.anchor_id, a.anchor_type, a.path, a.symbol_name, a.content_text AS full_text, c.text AS chunk_text, len(regexp_extract_all(a.content_text, {_WORD})) > 357 AS truncated,
+      CASE WHEN len(regexp_extract_all(a.content_text, {_WORD})) > 357 THEN array_to_string(regexp_extract_all(a.content_text, {_WORD})[1:357], ' ') ELSE a.content_text END AS preview
+      FROM h JOIN anchors a ON a.id = h.anchor_id LEFT JOIN c ON c.chunk_id = coalesce(h.vec_chunk, h.bm25_chunk)),
+    e AS (SELECT *, nullif(substr(chunk_text, 1, 200), substr(preview, 1, 200)) AS excerpt FROM j)
+    SELECT query_id, rank, score, anchor_id, anchor_type, path, symbol_name, preview, truncated, excerpt, nullif(strpos(full_text, excerpt), 0) - 1 AS excerpt_at FROM e"""
