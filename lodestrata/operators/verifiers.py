@@ -68,8 +68,8 @@ def numbers(claims: DataFrame, repo: dict[str, DataFrame]) -> DataFrame:
 def _first_enum(claims: DataFrame, enums: DataFrame) -> DataFrame:
     """``claim_id, members`` of the first enum, by path and place in it, whose name holds the claim's noun or stands in its text or
     section. The enums' names, which are few (one row a name), are matched as they are: a name within a text is no key."""
-    e = enums.groupBy("name").agg(F.min_by("members", "path").alias("members"), F.struct(F.min("path").alias("path"), F.first("name").alias("name")).alias("k"))
-    noun = F.lower(F.regexp_extract("subject", r"^\d+\s+(\w+)$", 1))
+    e = _with(enums, "path").groupBy("name").agg(F.min_by("members", F.struct("path")).alias("members"), F.struct(F.min("path").alias("path"), F.first("name").alias("name")).alias("k"))
+    noun = F.lower(F.regexp_replace(F.regexp_extract("subject", r"^\d+\s+(\w+)$", 1), "s+$", ""))
     said = F.lower(F.concat_ws("\n", "line", "section"))
     c = claims.select("claim_id", F.lower(F.coalesce(noun, F.lit(""))).alias("noun"), said.alias("said"))
     low = F.lower(F.col("name"))
@@ -77,17 +77,18 @@ def _first_enum(claims: DataFrame, enums: DataFrame) -> DataFrame:
     return hit.groupBy("claim_id").agg(F.min_by("members", "k").alias("members"), F.min_by("name", "k").alias("enum"))
 
 
-def _with_context(claims: DataFrame) -> DataFrame:
-    for c in ("line", "section"):
-        if c not in claims.columns:
-            claims = claims.withColumn(c, F.lit(None).cast("string"))
-    return claims
+def _with(df: DataFrame, *columns: str) -> DataFrame:
+    """The table with these columns, as nulls where it lacks them."""
+    for c in columns:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("string"))
+    return df
 
 
 @verifier("enum_count")
 def enum_counts(claims: DataFrame, repo: dict[str, DataFrame]) -> DataFrame:
     """The number claimed against the members of the enum that the claim is about; without one it can't be verified."""
-    c = _with_context(claims)
+    c = _with(claims, "line", "section")
     n = F.regexp_extract("subject", r"^(\d+)", 1).cast("long")
     m = F.size("members")
     r = F.when(F.col("members").isNull(), verdict("unverifiable", 0.3)).when(m == n, verdict("confirmed", 0.95)).otherwise(verdict("contradicted", 0.9))
@@ -107,7 +108,7 @@ def member_differences(claims: DataFrame, enums: DataFrame) -> DataFrame:
     """``claim_id, enum, missing, extra`` of claims about an enum's members, both differences sorted."""
     if "members" not in claims.columns:
         claims = claims.withColumn("members", F.array().cast("array<string>"))
-    e = enums.select(F.col("name").alias("enum"), F.col("members").alias("have"), F.struct("path", "name").alias("k"))
+    e = _with(enums, "path").select(F.col("name").alias("enum"), F.col("members").alias("have"), F.struct("path", "name").alias("k"))
     c = claims.select("claim_id", F.lower(F.coalesce("subject", F.lit(""))).alias("of"), "members")
     one = c.join(e, F.contains(F.lower("enum"), F.col("of"))).groupBy("claim_id").agg(F.min_by(F.struct("enum", "have", "members"), "k").alias("r")).select("claim_id", "r.*")
     diff = lambda x, y: F.array_sort(F.array_except(x, y))

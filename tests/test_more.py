@@ -38,7 +38,7 @@ def test_similar_fingerprints_against_brute_force(spark):
 
 def test_verifiers(spark):
     c = spark.createDataFrame(
-        [(1, "env_var_name", "APP_MODE"), (2, "env_var_name", "APP"), (3, "env_var_name", "APP_MODEX"), (4, "env_var_name", "OTHER_THING"), (5, "env_var_name", "README"), (6, "enum_count", "3 states"), (7, "enum_count", "4 states"), (8, "enum_count", "2 plugins"), (9, "route_path", "/api/v1/users/"), (10, "route_path", "/api/v1/none"), (11, "numeric_value", "3"), (12, "symbol_exists", "Go"), (13, "file_path", "src/x")],
+        [(1, "env_var_name", "APP_MODE"), (2, "env_var_name", "APP"), (3, "env_var_name", "APP_MODEX"), (4, "env_var_name", "OTHER_THING"), (5, "env_var_name", "WORKDIR"), (6, "enum_count", "3 states"), (7, "enum_count", "4 states"), (8, "enum_count", "2 plugins"), (9, "route_path", "/api/v1/users/"), (10, "route_path", "/api/v1/none"), (11, "numeric_value", "3"), (12, "symbol_exists", "Go"), (13, "file_path", "src/x")],
         "claim_id int, claim_type string, subject string",
     )
     repo = {
