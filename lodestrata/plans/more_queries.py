@@ -44,7 +44,14 @@ def fingerprint_pairs(spark: SparkSession, root: str) -> DataFrame:
     return FP.similar_fingerprints(table(spark, root, "anchors"), key="id", fingerprint="fingerprint_simhash")
 
 
-@query()
+_BITS = ", ".join(f"CASE WHEN 2 * sum((h >> {b}) & 1) > count(*) THEN 1::HUGEINT << {b} ELSE 0::HUGEINT END" for b in range(64))
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9_]+'), '') AS s FROM documents WHERE text IS NOT NULL),
+    g AS (SELECT doc_id, ('0x' || substr(md5(substr(s, i, 4)), 1, 16))::UBIGINT AS h FROM (SELECT doc_id, s, unnest(range(1, greatest(length(s) - 3, 1) + 1)) AS i FROM d))
+    SELECT doc_id, (CASE WHEN v >= 9223372036854775808 THEN v - 18446744073709551616 ELSE v END)::BIGINT AS simhash FROM (SELECT doc_id, list_sum([{_BITS}])::HUGEINT AS v FROM g GROUP BY doc_id)"""
+)
 def simhash(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").where("text is not null").select("doc_id", FP.simhash("text").alias("simhash"))
 

@@ -356,3 +356,15 @@ SQL["search_packets"] = f"""WITH h AS ({INDEX_SQL['hybrid_search']}), c AS (SELE
       FROM h JOIN anchors a ON a.id = h.anchor_id LEFT JOIN c ON c.chunk_id = coalesce(h.vec_chunk, h.bm25_chunk)),
     e AS (SELECT *, nullif(substr(chunk_text, 1, 200), substr(preview, 1, 200)) AS excerpt FROM j)
     SELECT query_id, rank, score, anchor_id, anchor_type, path, symbol_name, preview, truncated, excerpt, nullif(strpos(full_text, excerpt), 0) - 1 AS excerpt_at FROM e"""
+
+SQL["append_validation"] = """WITH RECURSIVE b AS (SELECT link_id, op, event_id FROM (SELECT *, row_number() OVER (PARTITION BY link_id ORDER BY received_at DESC, event_id DESC) AS n FROM link_records WHERE layer = 0) WHERE n = 1),
+    c AS (SELECT *, row_number() OVER (PARTITION BY link_id ORDER BY ts NULLS LAST, event_id) AS k FROM (SELECT DISTINCT link_id, event_id, op, supersedes, ts FROM link_records WHERE layer = 1)),
+    r AS (SELECT DISTINCT c.link_id, 0::BIGINT AS k, b.op AS op, b.event_id AS last, NULL::VARCHAR AS event_id, NULL::VARCHAR AS violation FROM c LEFT JOIN b ON b.link_id = c.link_id
+      UNION ALL SELECT link_id, k, CASE WHEN violation IS NULL THEN next_op ELSE op END, CASE WHEN violation IS NULL THEN event_id ELSE last END, event_id, violation FROM (
+        SELECT r.link_id, c.k, r.op, r.last, c.op AS next_op, c.event_id, CASE WHEN r.op = 'delete' THEN 'link is deleted' WHEN c.op = 'delete' AND r.last IS NULL THEN 'delete of an unknown link' WHEN r.last IS NULL AND c.supersedes IS NOT NULL THEN 'replaces an unknown record'
+          WHEN r.last IS NOT NULL AND c.supersedes IS NULL THEN 'replaces nothing' WHEN r.last IS NOT NULL AND c.supersedes <> r.last THEN 'replaces another than the last record' END AS violation
+        FROM r JOIN c ON c.link_id = r.link_id AND c.k = r.k + 1))
+    SELECT link_id, event_id, violation FROM r WHERE k > 0"""
+SQL["dashboard_rows"] = f"""WITH e AS (SELECT id, drift_status, count(*) AS n FROM (SELECT drift_status, unnest([from_id, to_id]) AS id FROM {_DRIFT}) GROUP BY ALL),
+    l AS (SELECT id, '{{' || string_agg('"' || drift_status || '":' || n, ',' ORDER BY drift_status) || '}}' AS links FROM e GROUP BY id)
+    SELECT a.id, '{{' || concat_ws(',', '"anchor_type":' || to_json(anchor_type), '"path":' || to_json(path), '"preview":' || to_json(substr(content_text, 1, 300)), '"links":' || links) || '}}' AS row FROM anchors a LEFT JOIN l ON l.id = a.id"""
