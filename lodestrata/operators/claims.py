@@ -118,14 +118,52 @@ def report(verdicts: DataFrame) -> DataFrame:
     return verdicts.agg(F.count("*").alias("total"), n("confirmed").alias("confirmed"), n("contradicted").alias("contradicted"), n("unverifiable").alias("unverifiable"), F.when(verified > 0, F.round(n("confirmed") / verified, 6)).otherwise(0.0).alias("pass_rate"))
 
 
+def _by_rarity(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """``name, n, lo, hi, i, k``: the trigrams ``k`` of each name, the rarest (``counts``: ``k, c``) at place ``i`` = 0, with the
+    size ``n`` of the set and 128 bits of it."""
+    from lodestrata.functions.text import trigrams
+
+    g = names.select("name", F.explode(trigrams(F.col("name"))).alias("k")).join(counts, "k", "left")
+    own = g.groupBy("name").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "k"))).alias("t"))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x["k"]), F.lit(64)).cast("int"))
+    half = lambda h: F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: F.when(F.pmod(F.hash(x["k"]), F.lit(2)) == h, acc.bitwiseOR(bit(x))).otherwise(acc))
+    return own.select("name", F.size("t").alias("n"), half(0).alias("lo"), half(1).alias("hi"), "t").select("name", "n", "lo", "hi", F.posexplode("t").alias("i", "x")).select("name", "n", "lo", "hi", "i", "x.k")
+
+
 def fuzzy_symbols(queries: DataFrame, symbols: DataFrame, *, least: float = 0.5, most: int = 5) -> DataFrame:
-    """``query, name, similarity``: the most similar symbols above ``least``. Pairs are formed by a shared trigram; a name of
-    fewer than three letters is only found by names that hold it, through its letters."""
+    """``query, name, similarity``: the most similar symbols above ``least`` (0 or more); no pair above it is lost.
+
+    Pairs are found by equi joins, each for one way of being similar. Trigrams alike: two sets above ``least`` share one of the
+    rarest of each (prefix filter); where its places or the bits of the sets leave too few others in common, the join drops the
+    pair. One name in the other: its rarest trigram is one of the other's; if it has fewer than three letters, it is itself
+    looked up among the other's letters. Snake forms: equal. Only what is left is compared."""
     from lodestrata.functions.text import snake, symbol_similarity, trigrams
 
-    key = lambda c: F.array_union(trigrams(c), F.array(F.concat(F.lit("s:"), snake(c))))
-    q = queries.select("query").distinct().select("query", F.explode(key(F.col("query"))).alias("k"))
-    s = symbols.select("name").distinct().select("name", F.explode(key(F.col("name"))).alias("k"))
-    pairs = q.join(s, "k").select("query", "name").distinct().withColumn("similarity", F.round(symbol_similarity(F.col("query"), F.col("name")), 6))
+    qs = queries.where("query is not null").select(F.col("query").alias("name")).distinct()
+    names = symbols.where("name is not null").select("name").distinct()
+    counts = names.select(F.explode(trigrams(F.col("name"))).alias("k")).groupBy("k").agg(F.count("*").alias("c"))
+    t = max(least - 1e-6, 0.0)  # similarities are rounded before they are compared
+    alike = F.when(F.col("i") <= F.col("n") - F.greatest(F.lit(1), F.ceil(F.col("n") * t - 1e-9)), 0)
+    first = F.col("i") == 0
+    ways = lambda *w: F.explode(F.array_compact(F.array(*w))).alias("way")
+    a = _by_rarity(qs, counts).select("*", ways(alike, F.when(first, 1), F.lit(2))).alias("a")
+    b = _by_rarity(names, counts).select("*", ways(alike, F.lit(1), F.when(first, 2))).alias("b")
+    c = lambda x: F.col(x)
+    after = F.least(c("a.n") - c("a.i"), c("b.n") - c("b.i"))
+    apart = F.bit_count(c("a.lo").bitwiseXOR(c("b.lo"))) + F.bit_count(c("a.hi").bitwiseXOR(c("b.hi")))
+    enough = lambda common: common * (1 + t) >= (c("a.n") + c("b.n")) * t - 1e-9
+    inside = lambda x, y: (c(f"{x}.n") <= c(f"{y}.n")) & (c(f"{x}.lo").bitwiseAND(c(f"{y}.lo")) == c(f"{x}.lo")) & (c(f"{x}.hi").bitwiseAND(c(f"{y}.hi")) == c(f"{x}.hi")) & F.contains(F.lower(f"{y}.name"), F.lower(f"{x}.name"))
+    may = F.when(c("a.way") == 0, enough(after) & enough((c("a.n") + c("b.n") - apart) / 2)).when(c("a.way") == 1, inside("a", "b")).otherwise(inside("b", "a"))
+    pair = [c("a.name").alias("query"), c("b.name").alias("name")]
+    found = a.join(b, (c("a.k") == c("b.k")) & (c("a.way") == c("b.way")) & may).select(*pair)
+    low = F.lower("name")
+    held = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(low) + 1), lambda i: F.array(F.substring(low, i, F.lit(1)), F.substring(low, i, F.lit(2))))))
+    short = lambda df: F.broadcast(df.where(F.length(low) < 3).select("name", low.alias("k")))
+    letters = lambda df: df.select("name", F.explode(held).alias("k"))
+    forms = lambda df: df.select("name", snake(F.col("name")).alias("k"))
+    for x, y in ((short(qs), letters(names)), (letters(qs), short(names)), (forms(qs), forms(names))):
+        found = found.unionByName(x.alias("a").join(y.alias("b"), c("a.k") == c("b.k")).select(*pair))
+    pairs = found.distinct().withColumn("similarity", F.round(symbol_similarity(F.col("query"), F.col("name")), 6))
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "name")
-    return pairs.where(F.col("similarity") > least).withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
+    # ranked before they are filtered, else Spark compares in the join, ahead of the join's own tests
+    return pairs.withColumn("n", F.row_number().over(w)).where((F.col("n") <= most) & (F.col("similarity") > least)).drop("n")
